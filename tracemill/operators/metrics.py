@@ -93,7 +93,7 @@ def manual_time(activity: Column, user_value: Column) -> Column:
 
 def can_compute_full(levels: list[Column]) -> Column:
     """M5: every critical metric is provided or observed."""
-    return F.expr("true") if not levels else _all([lv.isin("provided", "observed") for lv in levels])
+    return _all([lv.isin("provided", "observed") for lv in levels])
 
 
 def can_compute_partial(levels: list[Column]) -> Column:
@@ -281,11 +281,11 @@ def metric_rows(report: DataFrame) -> DataFrame:
 
 def precision(report: DataFrame) -> DataFrame:
     """Counts of the four levels and the resulting precision class."""
-    levels = F.array(*[F.col(f"{m}.confidence_level") for m in METRICS])
-    counts = {
-        lv: F.size(F.filter(levels, lambda x, lv=lv: x == lv)).cast("long").alias(f"{lv}_count") for lv in LEVELS
-    }
-    counted = report.select("process_id", *counts.values())
+    def at(level: str) -> Column:
+        hits = [F.when(F.col(f"{m}.confidence_level") == level, 1).otherwise(0) for m in METRICS]
+        return sum(hits[1:], hits[0]).cast("long")
+
+    counted = report.select("process_id", *[at(lv).alias(f"{lv}_count") for lv in LEVELS])
     return counted.withColumn(
         "precision",
         F.when(F.col("missing_count") > 0, "partial")

@@ -64,7 +64,7 @@ def durations(spark: SparkSession, d: str) -> DataFrame:
 
 
 DURATIONS = """select event_type process_id, cast(user_id as varchar) case_id, event_type activity,
-  value minutes from events where value is not null"""
+  value as minutes from events where value is not null"""
 
 
 # ---- user metrics -----------------------------------------------------------

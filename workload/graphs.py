@@ -250,7 +250,7 @@ l as (select workflow_id, count(*) lost from steps s where not exists
 select workflow_id, coalesce(lost, 0) unreferenced_steps, array_to_string(list_filter([
   case when ia = 0 then 'no_ai_node' end, case when au = 0 then 'no_automatic_node' end,
   case when hu > au then 'more_human_than_automatic' end, case when lost > 0 then 'steps_unreferenced' end,
-  case when nodes > 20 then 'large_workflow' end], x -> x is not null), '|') warnings
+  case when nodes > 20 then 'large_workflow' end], lambda x: x is not null), '|') warnings
 from n left join l using (workflow_id)""")
 def v7(spark, d):
     out = wr.audit_workflows(chain_nodes(spark, d), chain_steps(spark, d))

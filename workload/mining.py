@@ -12,7 +12,7 @@ from workload.bindings import DURATIONS, LOG_DAY, LOG_EVENTS, durations, log_all
 _MIN = "(epoch_us({b}) - epoch_us({a})) / 6e7"
 
 VOLUME = """vol as (select process_id, count(distinct case_id) cases,
-  greatest(cast(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0) as bigint) + 1, 1) days
+  greatest(cast(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0) as bigint) + 1, 1) as days
   from log group by 1)"""
 MEASURES = f"""ordered as (select *, lag(ts) over w prev, lead(activity) over w nxt from log
     window w as (partition by process_id, case_id order by ts, tie, activity)),

@@ -135,7 +135,7 @@ ROI = f"""{M10}, {_FLAGS}, par as (select *, cast(process_id as bigint) k,
     greatest(manual * 0.8 - 1.5, 0) saved from flags),
 bad as (select *, case when k % 13 = 0 then 'hourly_rate_not_positive'
     when k % 17 = 0 then 'automation_rate_out_of_range' when not partial_ok then 'roi_blocked' end violation from par),
-val as (select *, case when violation is null then volume * saved end minutes from bad),
+val as (select *, case when violation is null then volume * saved end as minutes from bad),
 roi as (select process_id, k, round(minutes / 60, 2) heures_economisees_par_mois,
   round(minutes / 60 * 25, 2) economies_mensuelles, round(minutes / 60 * 25 * 12, 2) projection_annuelle,
   case when k % 2 = 0 and minutes > 0 then round(5000 / (minutes / 60 * 25), 2) end mois_retour_investissement,
@@ -178,7 +178,7 @@ def v10(spark, d):
   bool_or(metric <> 'monthly_volume' and confidence_level = 'missing') gap from m8 group by 1)
 select process_id scope_id, 'time_report' subject_kind, process_id subject_id, unnest(list_filter([
   case when man > cyc then 'manual_above_cycle' end, case when act > cyc then 'activity_above_cycle' end,
-  case when wai > cyc then 'waiting_above_cycle' end], x -> x is not null)) "rule" from m where not gap""")
+  case when wai > cyc then 'waiting_above_cycle' end], lambda x: x is not null)) "rule" from m where not gap""")
 def v1(spark, d):
     return tr.time_violations(mt.report_from_log(log_all(spark, d), user_values(spark, d)))
 
@@ -187,6 +187,6 @@ def v1(spark, d):
   case when manual is not null then 'estimated_metrics' end,
   case when volume is null or manual is null or waiting is null then 'missing_metrics' end,
   case when partial_ok then 'partial_roi_only' end, case when not partial_ok then 'roi_disabled' end,
-  case when waiting > manual * 3 then 'waiting_far_above_activity' end], x -> x is not null), '|') warnings from flags""")
+  case when waiting > manual * 3 then 'waiting_far_above_activity' end], lambda x: x is not null), '|') warnings from flags""")
 def v3(spark, d):
     return tr.audit_time(user_report(spark, d)).select("process_id", F.array_join("warnings", "|").alias("warnings"))

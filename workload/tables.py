@@ -207,7 +207,7 @@ def c5(spark, d):
     return table(spark, d, "documents").select("doc_id", s.word_count("text").cast("long").alias("words"))
 
 
-@query("c7_whole_days", """select l_orderkey, l_linenumber, cast(floor((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0) as bigint) days,
+@query("c7_whole_days", """select l_orderkey, l_linenumber, cast(floor((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0) as bigint) as days,
 count(*) n from lineitem join orders on l_orderkey = o_orderkey group by 1, 2, 3""")
 def c7(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
