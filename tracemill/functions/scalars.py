@@ -81,8 +81,24 @@ def whole_days_between(start: Column | str, end: Column | str) -> Column:
 
 
 def round_to(c: Column | str, places: int = 2) -> Column:
-    """Decimal rounding used by every reported number."""
-    return F.round(_col(c), places)
+    """Round the exact binary value, exact halves to even (2.675 -> 2.67).
+
+    SQL ``round`` looks at the shortest decimal text and takes 2.675 up. The two differ
+    only where that text is a half; there the sign of ``scale * x - k`` decides, formed
+    without rounding error from the two halves of the mantissa.
+    """
+    x = _col(c).cast("double")
+    scale = float(10 ** (places + 1))
+    size = F.abs(x)
+    k = F.rint(size * scale)
+    spread = size * 134_217_729.0
+    high = spread - (spread - size)
+    side = (high * scale - k) + (size - high) * scale
+    is_half = (k % 10 == 5) & (k / scale == size) & (size < 2.0**52 / scale)
+    down, up = (k - 5) / scale, (k + 5) / scale
+    even = F.when(((k - 5) / 10) % 2 == 0, down).otherwise(up)
+    settled = F.when(side > 0, up).when(side < 0, down).otherwise(even) * F.signum(x)
+    return F.when(is_half, settled).otherwise(F.round(x, places))
 
 
 def as_timestamp(c: Column | str, dtype: T.DataType) -> Column:
@@ -112,18 +128,17 @@ def roi_detail(
     saved_hours: Column | str,
 ) -> Column:
     """C11: one-line text of the saving calculation."""
-    return F.format_string(
-        ROI_DETAIL_FORMAT, _col(volume), _col(saved_per_case), _col(saved_minutes), _col(saved_hours)
-    )
+    parts = [volume, saved_per_case, saved_minutes, saved_hours]
+    return F.format_string(ROI_DETAIL_FORMAT, *[round_to(p) for p in parts])
 
 
 def roi_assumptions(rate: Column, residual: Column, hourly: Column, cost: Column) -> Column:
     """Three parameter texts, and a fourth when a cost is given."""
     return F.array_compact(
         F.array(
-            F.format_string("automation_rate=%.2f", rate),
-            F.format_string("residual_manual_time_minutes=%.2f", residual),
-            F.format_string("taux_horaire=%.2f", hourly),
-            F.when(cost.isNotNull(), F.format_string("implementation_cost=%.2f", cost)),
+            F.format_string("automation_rate=%.2f", round_to(rate)),
+            F.format_string("residual_manual_time_minutes=%.2f", round_to(residual)),
+            F.format_string("taux_horaire=%.2f", round_to(hourly)),
+            F.when(cost.isNotNull(), F.format_string("implementation_cost=%.2f", round_to(cost))),
         )
     )

@@ -52,6 +52,11 @@ LOG_SHIP = """select 'ship' process_id, cast(l_orderkey as varchar) case_id,
 LOG_ALL = f"{LOG_EVENTS} union all {LOG_DAY} union all {LOG_SHIP}"
 
 
+def r2(value: str, places: int = 2) -> str:
+    """SQL rounding of the exact binary value, as the operators round."""
+    return f"cast(printf('%.{places}f', cast({value} as double)) as double)"
+
+
 def with_log(body: str, log: str = LOG_ALL) -> str:
     return f"with log as ({log}), {body}"
 

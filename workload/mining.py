@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 from tracemill.operators import mining as m
 from workload import query
-from workload.bindings import DURATIONS, LOG_DAY, LOG_EVENTS, durations, log_all, log_day, log_events, with_log
+from workload.bindings import (
+    DURATIONS,
+    LOG_DAY,
+    LOG_EVENTS,
+    durations,
+    log_all,
+    log_day,
+    log_events,
+    r2,
+    with_log,
+)
 
 _MIN = "(epoch_us({b}) - epoch_us({a})) / 6e7"
 
@@ -18,13 +28,13 @@ MEASURES = f"""ordered as (select *, lag(ts) over w prev, lead(activity) over w
     window w as (partition by process_id, case_id order by ts, tie, activity)),
 sojourn as (select process_id, activity, avg({_MIN.format(a='start_ts', b='ts')}) mean_minutes, count(*) events
     from log where start_ts is not null group by 1, 2),
-act as (select process_id, round(median(mean_minutes), 2) activity_minutes from sojourn
+act as (select process_id, {r2('median(mean_minutes)')} activity_minutes from sojourn
     where mean_minutes >= 0 group by 1),
 spans as (select process_id, case_id, min(ts) first_ts, max(ts) last_ts, count(*) events from log group by 1, 2),
-cyc as (select process_id, round(median({_MIN.format(a='first_ts', b='last_ts')}), 2) cycle_minutes
+cyc as (select process_id, {r2('median(' + _MIN.format(a='first_ts', b='last_ts') + ')')} cycle_minutes
     from spans group by 1),
 waits as (select process_id, case_id, activity, ts, {_MIN.format(a='prev', b='ts')} wait_minutes from ordered),
-wait as (select process_id, round(median(wait_minutes), 2) waiting_minutes, count(*) pairs from waits
+wait as (select process_id, {r2('median(wait_minutes)')} waiting_minutes, count(*) pairs from waits
     where wait_minutes >= 0 group by 1),
 edge as (select process_id, activity, nxt next_activity, count(*) weight from ordered
     where nxt is not null group by 1, 2, 3),
@@ -33,15 +43,15 @@ paths as (select process_id, case_id, string_agg(activity, '>' order by ts, tie,
 variant as (select process_id, variant, max(length) length, count(*) cases, min(case_id) example_case
     from paths group by 1, 2),
 vsum as (select process_id, count(*) variants_count, max(cases) top_variant_cases,
-    round(max(cases) / cast(sum(cases) as double) * 100, 2) top_variant_share_pct from variant group by 1)"""
+    {r2('max(cases) / cast(sum(cases) as double) * 100')} top_variant_share_pct from variant group by 1)"""
 
 
 def flat_variants(v: DataFrame) -> DataFrame:
     return v.withColumn("variant", F.concat_ws(">", "variant"))
 
 
-@query("a1_monthly_volume", with_log(VOLUME + """
-select process_id, cases, days, round(cases / cast(days as double) * 30.0, 2) monthly_volume from vol"""))
+@query("a1_monthly_volume", with_log(VOLUME + f"""
+select process_id, cases, days, {r2('cases / cast(days as double) * 30.0')} monthly_volume from vol"""))
 def a1(spark, d):
     return m.monthly_volume(log_all(spark, d))
 
@@ -57,9 +67,9 @@ def a2(spark, d):
     return m.activity_duration(log_all(spark, d))
 
 
-@query("a3_row_duration", with_log("""x as (select process_id, (epoch_us(ts) - epoch_us(start_ts)) / 6e7 v from log
+@query("a3_row_duration", with_log(f"""x as (select process_id, (epoch_us(ts) - epoch_us(start_ts)) / 6e7 v from log
 where start_ts is not null)
-select process_id, round(median(v), 2) row_minutes, 'start-timestamp' basis from x where v >= 0 group by 1"""))
+select process_id, {r2('median(v)')} row_minutes, 'start-timestamp' basis from x where v >= 0 group by 1"""))
 def a3(spark, d):
     return m.row_duration(log_all(spark, d))
 

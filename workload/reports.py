@@ -16,6 +16,7 @@ from workload.bindings import (
     customer_metrics,
     durations,
     log_all,
+    r2,
     table,
 )
 from workload.mining import MEASURES, VOLUME
@@ -57,7 +58,7 @@ def user_values(spark, d) -> DataFrame:
 
 
 M8 = f"""log as ({LOG_ALL}), {VOLUME}, {MEASURES}, {USER},
-base as (select process_id, round(cases / cast(days as double) * 30.0, 2) monthly, activity_minutes, cycle_minutes,
+base as (select process_id, {r2('cases / cast(days as double) * 30.0')} monthly, activity_minutes, cycle_minutes,
   waiting_minutes, u_volume, u_manual from vol left join act using (process_id) left join cyc using (process_id)
   left join wait using (process_id) left join usr using (process_id)),
 m8 as ({_metric_sql('monthly_volume', 'coalesce(u_volume, monthly)', _level('u_volume', "'estimated'"), "case when u_volume is not null then 'user_input' else 'rule_engine' end", 'base')}
@@ -136,9 +137,9 @@ ROI = f"""{M10}, {_FLAGS}, par as (select *, cast(process_id as bigint) k,
 bad as (select *, case when k % 13 = 0 then 'hourly_rate_not_positive'
     when k % 17 = 0 then 'automation_rate_out_of_range' when not partial_ok then 'roi_blocked' end violation from par),
 val as (select *, case when violation is null then volume * saved end as minutes from bad),
-roi as (select process_id, k, round(minutes / 60, 2) heures_economisees_par_mois,
-  round(minutes / 60 * 25, 2) economies_mensuelles, round(minutes / 60 * 25 * 12, 2) projection_annuelle,
-  case when k % 2 = 0 and minutes > 0 then round(5000 / (minutes / 60 * 25), 2) end mois_retour_investissement,
+roi as (select process_id, k, {r2('minutes / 60')} heures_economisees_par_mois,
+  {r2('minutes / 60 * 25')} economies_mensuelles, {r2('minutes / 60 * 25 * 12')} projection_annuelle,
+  case when k % 2 = 0 and minutes > 0 then {r2('5000 / (minutes / 60 * 25)')} end mois_retour_investissement,
   case when partial_ok then 'partial' else 'blocked' end roi_mode, violation,
   case when violation is null then printf('%.2f cas/mois × %.2f min économisées/cas = %.2f min/mois = %.2f h/mois',
     volume, saved, minutes, minutes / 60) end detail_calcul,
@@ -154,11 +155,11 @@ def m11(spark, d):
     )
 
 
-@query("c11_c12_savings_texts", f"with {ROI} select process_id, assumptions, detail_calcul is not null has_detail from roi")
+@query("c11_c12_savings_texts", f"with {ROI} select process_id, assumptions, coalesce(detail_calcul, '') detail from roi")
 def c11(spark, d):
     return savings(spark, d).select(
         "process_id", F.coalesce(F.array_join("assumptions", "|"), F.lit("")).alias("assumptions"),
-        F.col("detail_calcul").isNotNull().alias("has_detail"),
+        F.coalesce("detail_calcul", F.lit("")).alias("detail"),
     )
 
 
@@ -166,7 +167,7 @@ def c11(spark, d):
   select process_id, unnest(['heures_economisees_par_mois_invalid', 'economies_mensuelles_invalid',
     'projection_annuelle_invalid', 'detail_blank']) "rule" from roi where violation is not null
   union all select process_id, 'annual_not_12_months' from roi
-    where abs(projection_annuelle - round(economies_mensuelles * 12, 2)) > 0.00001)
+    where abs(projection_annuelle - {r2('economies_mensuelles * 12')}) > 0.00001)
 select process_id scope_id, 'roi' subject_kind, process_id subject_id, "rule" from n""")
 def v10(spark, d):
     return r.roi_violations(savings(spark, d), tol=0.0)

@@ -14,7 +14,7 @@ from tracemill.sources.catalog import catalog_names
 from tracemill.sources.documents import documents_without_records, extract_records, records_table
 from tracemill.sources.exports import export_documents
 from workload import query
-from workload.bindings import CATALOG, catalog, log_all, table, with_log
+from workload.bindings import CATALOG, catalog, log_all, r2, table, with_log
 
 
 def documents(spark, d) -> DataFrame:
@@ -227,7 +227,7 @@ def c14(spark, d):
     return table(spark, d, "part").select("p_partkey", s.typed_label("p_name", "p_type").alias("label"))
 
 
-@query("a18_telemetry", """select l_orderkey run_id, round(sum(round(l_quantity / 7, 3)), 3) total_latency_seconds,
+@query("a18_telemetry", f"""select l_orderkey run_id, {r2('sum(' + r2('l_quantity / 7', 3) + ')', 3)} total_latency_seconds,
 sum(case when l_linenumber % 3 <> 0 then l_partkey else 0 end) total_prompt_tokens,
 sum(l_suppkey) total_completion_tokens,
 sum(case when l_linenumber % 3 <> 0 then l_partkey else 0 end) + sum(l_suppkey) total_tokens
