@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import round_to
-from tracemill.operators.mining import duration_summary, monthly_volume, process_measures
-from tracemill.operators.sequence import MAX_GROUP_ROWS
+from tracemill.operators.mining import MAX_PATH_EVENTS, duration_summary, monthly_volume, process_measures
 
 # Metric names with their units, levels and the critical metrics.
 UNITS = {
@@ -155,14 +154,14 @@ def report_from_log(
     log: DataFrame,
     user_metrics: DataFrame | None = None,
     processes: DataFrame | None = None,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_events: int = MAX_PATH_EVENTS,
 ) -> DataFrame:
     """M8: time report of event logs.
 
     ``user_metrics`` holds (process_id, any of the five metrics); null means not given.
     ``processes`` may name processes that must appear even without usable events.
     """
-    measured = process_measures(log, max_rows).join(monthly_volume(log), "process_id", "left")
+    measured = process_measures(log, max_events).join(monthly_volume(log), "process_id", "left")
     if processes is not None:
         measured = processes.select("process_id").distinct().join(measured, "process_id", "left")
     base = _with_user(measured, user_metrics).withColumns(

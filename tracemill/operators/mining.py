@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import minutes_between, round_to, whole_days_between
 from tracemill.operators.median import exact_median
-from tracemill.operators.sequence import LOOK, MAX_GROUP_ROWS, along, oversized
+from tracemill.operators.sequence import MAX_GROUP_ROWS, along, oversized
 from tracemill.session import broadcast_if_small
 
 CASE = ["process_id", "case_id"]
@@ -29,6 +29,8 @@ def _ordered(log: DataFrame) -> DataFrame:
     )
 
 
+# Events of a case held as one array; longer cases are followed row by row.
+MAX_PATH_EVENTS = 100_000
 _SPLIT = ["_at", "_tie"]
 _ORDER = [*_SPLIT, "activity"]
 
@@ -109,9 +111,9 @@ def cycle_time(log: DataFrame) -> DataFrame:
     return _rounded(exact_median(cycles, ["process_id"], "_minutes", "cycle_minutes"))
 
 
-def case_waits(log: DataFrame, max_rows: int = MAX_GROUP_ROWS, big=LOOK) -> DataFrame:
+def case_waits(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Minutes since the previous event of the same case."""
-    steps = along(_ordered(log), CASE, _ORDER, _SPLIT, lag={"_prev": "_at"}, max_rows=max_rows, big=big)
+    steps = along(_ordered(log), CASE, _ORDER, _SPLIT, lag={"_prev": "_at"}, max_rows=max_rows)
     return steps.select(
         *CASE,
         "activity",
@@ -132,11 +134,11 @@ def _rounded(medians: DataFrame, count: str | None = None) -> DataFrame:
     return medians.select("process_id", round_to(value).alias(value), *counted)
 
 
-def directly_follows(log: DataFrame, max_rows: int = MAX_GROUP_ROWS, big=LOOK) -> DataFrame:
+def directly_follows(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """How often one activity directly follows another within a case."""
     steps = along(
         _ordered(log), CASE, _ORDER, _SPLIT, lead={"next_activity": "activity"},
-        max_rows=max_rows, big=big,
+        max_rows=max_rows,
     )
     return (
         steps.filter(F.col("next_activity").isNotNull())
@@ -170,27 +172,34 @@ def end_activity_counts(log: DataFrame) -> DataFrame:
     )
 
 
-def variants(log: DataFrame, max_rows: int = MAX_GROUP_ROWS, big=LOOK) -> DataFrame:
+def _paths(log: DataFrame) -> DataFrame:
+    """Ordered events of every case as one array; for cases of bounded length."""
+    item = F.struct(*_ORDER)
+    return _ordered(log).groupBy(*CASE).agg(F.sort_array(F.collect_list(item)).alias("_path"))
+
+
+def _split_by_length(log: DataFrame, max_events: int) -> tuple[DataFrame, DataFrame | None]:
+    """Events of short cases, and of long ones if there are any."""
+    big = oversized(log, CASE, max_events)
+    if big is None:
+        return log, None
+    marked = broadcast_if_small(big.select(*CASE))
+    return log.join(marked, CASE, "left_anti"), log.join(marked, CASE)
+
+
+def variants(log: DataFrame, max_events: int = MAX_PATH_EVENTS) -> DataFrame:
     """Distinct activity sequences with their case counts.
 
-    ``variant`` lists the activities in order. Cases above ``max_rows`` events are not
+    ``variant`` lists the activities in order. Cases above ``max_events`` events are not
     gathered: they are compared by length and by a 128-bit fingerprint of (position,
     activity) pairs, their ``variant`` is null, and ``example_case`` leads to the events.
     """
-    if isinstance(big, str):
-        big = oversized(log, CASE, max_rows)
-    if big is None:
-        return _short_variants(log)
-    marked = broadcast_if_small(big.select(*CASE))
-    long_cases = log.join(marked, CASE)
-    return _short_variants(log.join(marked, CASE, "left_anti")).unionByName(
-        _long_variants(long_cases, big, max_rows)
-    )
+    short, long = _split_by_length(log, max_events)
+    found = _path_variants(_paths(short))
+    return found if long is None else found.unionByName(_long_variants(long))
 
 
-def _short_variants(log: DataFrame) -> DataFrame:
-    item = F.struct(*_ORDER)
-    paths = _ordered(log).groupBy(*CASE).agg(F.sort_array(F.collect_list(item)).alias("_path"))
+def _path_variants(paths: DataFrame) -> DataFrame:
     named_paths = paths.select(*CASE, F.col("_path.activity").alias("variant"))
     return named_paths.groupBy("process_id", "variant").agg(
         F.count(F.lit(1)).alias("cases"), F.min("case_id").alias("example_case")
@@ -199,8 +208,8 @@ def _short_variants(log: DataFrame) -> DataFrame:
     )
 
 
-def _long_variants(log: DataFrame, big: DataFrame, max_rows: int) -> DataFrame:
-    placed = along(_ordered(log), CASE, _ORDER, _SPLIT, position="_p", max_rows=max_rows, big=big)
+def _long_variants(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    placed = along(_ordered(log), CASE, _ORDER, _SPLIT, position="_p", max_rows=max_rows)
     prints = placed.groupBy(*CASE).agg(
         F.count(F.lit(1)).alias("length"),
         F.bit_xor(F.xxhash64("_p", "activity")).alias("_f1"),
@@ -217,9 +226,13 @@ def _long_variants(log: DataFrame, big: DataFrame, max_rows: int) -> DataFrame:
     )
 
 
-def variant_summary(log: DataFrame, max_rows: int = MAX_GROUP_ROWS, big=LOOK) -> DataFrame:
+def variant_summary(log: DataFrame, max_events: int = MAX_PATH_EVENTS) -> DataFrame:
     """Number of variants and share of the most frequent one."""
-    return variants(log, max_rows, big).groupBy("process_id").agg(
+    return _summary(variants(log, max_events))
+
+
+def _summary(found: DataFrame) -> DataFrame:
+    return found.groupBy("process_id").agg(
         F.count(F.lit(1)).alias("variants_count"),
         F.max("cases").alias("top_variant_cases"),
         round_to(F.max("cases") / F.sum("cases") * 100.0).alias("top_variant_share_pct"),
@@ -237,26 +250,60 @@ def duration_summary(durations: DataFrame) -> DataFrame:
     return totals.join(middle, "process_id", "left")
 
 
-def process_measures(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def _path_pairs(paths: DataFrame) -> DataFrame:
+    """One row per event and its successor in the case."""
+    places = F.when(F.size("_path") > 1, F.sequence(F.lit(1), F.size("_path") - 1))
+    pair = F.transform(
+        places,
+        lambda i: F.struct(
+            F.get("_path", i - 1)["activity"].alias("activity"),
+            F.get("_path", i)["activity"].alias("next_activity"),
+            ((F.get("_path", i)["_at"] - F.get("_path", i - 1)["_at"]) / F.lit(60_000_000.0)).alias("minutes"),
+        ),
+    )
+    return paths.select("process_id", F.explode(pair).alias("_s")).select("process_id", "_s.*")
+
+
+def process_measures(
+    log: DataFrame, max_events: int = MAX_PATH_EVENTS, max_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
     """M7: activity, cycle and waiting medians, variant and edge counts per process.
 
-    The three medians share one distributed pass keyed by (process, measure).
+    Cycles, waits, variants and edges all come from one exchange by case that gathers
+    the case's path; only cases above ``max_events`` events are followed row by row. The
+    three medians share one distributed pass keyed by (process, measure).
     """
-    big = oversized(log, CASE, max_rows)
-    samples = (
-        sojourn_by_activity(log)
-        .select("process_id", F.lit("activity").alias("measure"), F.col("mean_minutes").alias("minutes"))
-        .unionByName(
-            case_spans(log).select(
-                "process_id", F.lit("cycle").alias("measure"),
-                minutes_between("first_ts", "last_ts").alias("minutes"),
-            )
+    short, long = _split_by_length(log, max_events)
+    paths = _paths(short)
+    pairs = _path_pairs(paths)
+    minutes = (F.element_at("_path", -1)["_at"] - F.get("_path", F.lit(0))["_at"]) / F.lit(60_000_000.0)
+    cycles = paths.select("process_id", minutes.alias("minutes"))
+    waits = pairs.select("process_id", "minutes")
+    edges = pairs.select("process_id", "activity", "next_activity")
+    found = _path_variants(paths)
+    if long is not None:
+        steps = along(
+            _ordered(long), CASE, _ORDER, _SPLIT, lag={"_prev": "_at"},
+            lead={"next_activity": "activity"}, max_rows=max_rows,
         )
-        .unionByName(
-            case_waits(log, max_rows, big).select(
-                "process_id", F.lit("waiting").alias("measure"), F.col("wait_minutes").alias("minutes")
-            )
+        wait = ((F.col("_at") - F.col("_prev")) / F.lit(60_000_000.0)).alias("minutes")
+        waits = waits.unionByName(steps.select("process_id", wait))
+        edges = edges.unionByName(
+            steps.filter(F.col("next_activity").isNotNull()).select("process_id", "activity", "next_activity")
         )
+        cycles = cycles.unionByName(
+            case_spans(long).select("process_id", minutes_between("first_ts", "last_ts").alias("minutes"))
+        )
+        found = found.unionByName(_long_variants(long, max_rows))
+
+    activities = log.groupBy("process_id", "activity").agg(
+        F.avg(minutes_between("start_timestamp", "timestamp")).alias("minutes"),
+        F.max(F.col("start_timestamp").isNotNull()).alias("_started"),
+    )
+    samples = (
+        activities.select("process_id", F.lit("activity").alias("measure"), "minutes")
+        .unionByName(cycles.select("process_id", F.lit("cycle").alias("measure"), "minutes"))
+        .unionByName(waits.select("process_id", F.lit("waiting").alias("measure"), "minutes"))
         .filter(F.col("minutes") >= 0)
     )
     medians = (
@@ -269,15 +316,11 @@ def process_measures(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFram
             ]
         )
     )
-    edges = directly_follows(log, max_rows, big).groupBy("process_id").agg(
-        F.count(F.lit(1)).alias("dfg_edges_count")
-    )
-    started = log.groupBy("process_id").agg(
-        F.coalesce(F.max(F.col("start_timestamp").isNotNull()), F.lit(False)).alias("has_start")
-    )
+    edge_counts = edges.distinct().groupBy("process_id").agg(F.count(F.lit(1)).alias("dfg_edges_count"))
+    started = activities.groupBy("process_id").agg(F.max("_started").alias("has_start"))
     return (
         started.join(medians, "process_id", "left")
-        .join(variant_summary(log, max_rows, big), "process_id", "left")
-        .join(edges, "process_id", "left")
+        .join(_summary(found), "process_id", "left")
+        .join(edge_counts, "process_id", "left")
         .withColumn("dfg_edges_count", F.coalesce("dfg_edges_count", F.lit(0)))
     )

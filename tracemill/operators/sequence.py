@@ -16,8 +16,6 @@ from tracemill.session import broadcast_if_small, checkpoint
 
 # Rows one task sorts for a single group.
 MAX_GROUP_ROWS = 4_000_000
-# Default of ``big`` arguments: look for oversized groups here.
-LOOK = "look"
 _SPREAD = 16
 
 
@@ -77,17 +75,15 @@ def along(
     lead: dict[str, str] | None = None,
     position: str | None = None,
     max_rows: int = MAX_GROUP_ROWS,
-    big: DataFrame | None | str = LOOK,
 ) -> DataFrame:
     """Add previous / next values and the 1-based position of each row in its group.
 
     ``order`` with the keys should identify a row; ``split`` is the leading part of it
     that holds longs and may be cut into cells. ``lag`` and ``lead`` map new column names
-    to source columns. ``big`` may pass on an earlier result of ``oversized``.
+    to source columns.
     """
     lag, lead = lag or {}, lead or {}
-    if isinstance(big, str):
-        big = oversized(df, keys, max_rows)
+    big = oversized(df, keys, max_rows)
     window = Window.partitionBy(*keys).orderBy(*order)
     added = [
         *[F.lag(src).over(window).alias(new) for new, src in lag.items()],
