@@ -1,26 +1,25 @@
-import pytest
-
 from tracemill.operators import advisor_rules, diagnosis_rules, graph, transform, workflow_rules
 from tracemill.operators.actions import atomic_actions
+from tracemill.operators.rules import union_all
 
 NODE = "workflow_id string, id string, label string, type_noeud string, description string, etape_originale string, ord int"
 EDGE = "workflow_id string, de string, vers string, condition string, ord int"
 
 
-def build(spark, nodes, edges, steps=("E1", "E2", "E3")):
+def build(spark, nodes, edges, steps=("E1", "E2", "E3"), workflow="w"):
     """nodes: 'id:type[:step]'; edges: 'a>b' or 'a>b?condition'."""
     rows = []
     for i, n in enumerate(nodes):
         name, kind, *step = n.split(":")
-        rows.append(("w", name, f"Node {name}", kind, "does it", step[0] if step else None, i))
+        rows.append((workflow, name, f"Node {name}", kind, "does it", step[0] if step else None, i))
     links = []
     for i, e in enumerate(edges):
         path, _, cond = e.partition("?")
-        links.append(("w", *path.split(">"), cond or None, i))
-    head = spark.createDataFrame([("w", "Title", "Text")], "workflow_id string, titre_workflow string, description_transformation string")
+        links.append((workflow, *path.split(">"), cond or None, i))
+    head = spark.createDataFrame([(workflow, "Title", "Text")], "workflow_id string, titre_workflow string, description_transformation string")
     return (
         head, spark.createDataFrame(rows, NODE), spark.createDataFrame(links, EDGE),
-        spark.createDataFrame([("w", s) for s in steps], "workflow_id string, id string"),
+        spark.createDataFrame([(workflow, s) for s in steps], "workflow_id string, id string"),
     )
 
 
@@ -41,27 +40,31 @@ def test_valid_workflow(spark):
     assert (audit.unreferenced_steps, audit.warnings) == (1, ["no_ai_node", "steps_unreferenced"])
 
 
-@pytest.mark.parametrize(
-    "nodes, edges, want",
-    [
-        (GOOD_NODES + ["N3:humain:E3"], GOOD_EDGES, [("N3", "duplicate_id")]),
-        (["N1:trigger", "N2:robot", "N4:fin"], ["N1>N2", "N2>N4"], [("N2", "type_not_allowed")]),
-        (["N2:humain", "N4:fin"], ["N2>N4"], [("N2", "node_without_input"), ("N4", "end_unreachable"), ("w", "no_complete_path"), ("w", "no_trigger")]),
-        (["N1:trigger", "N2:humain"], ["N1>N2"], [("N2", "node_without_output"), ("w", "no_complete_path"), ("w", "no_end")]),
-        (GOOD_NODES, GOOD_EDGES + ["N2>N9"], [("N2->N9", "unknown_endpoint")]),
-        (GOOD_NODES, GOOD_EDGES + ["N3>N3"], [("N3->N3", "self_loop"), ("w", "cycle")]),
-        (GOOD_NODES, GOOD_EDGES + ["N3>N2"], [("w", "cycle")]),
-        (GOOD_NODES, GOOD_EDGES + ["N2>N1"], [("N1", "trigger_with_input"), ("w", "cycle")]),
-        (GOOD_NODES, GOOD_EDGES + ["N4>N3"], [("N4", "end_with_output"), ("w", "cycle")]),
-        (GOOD_NODES + ["N5:ia"], GOOD_EDGES, [("N5", "node_without_input"), ("N5", "node_without_output")]),
-        (GOOD_NODES + ["N5:fin"], GOOD_EDGES, [("N5", "end_unreachable"), ("N5", "end_without_input")]),
-        (GOOD_NODES + ["N5:decision"], GOOD_EDGES + ["N2>N5", "N5>N4?yes"], [("N5", "decision_needs_two_outputs")]),
-        (GOOD_NODES + ["N5:decision"], GOOD_EDGES + ["N2>N5", "N5>N4", "N5>N3? "], [("N5", "decision_needs_condition")]),
-        (["N1:trigger", "N2:automatique:E9", "N4:fin"], ["N1>N2", "N2>N4"], [("E9", "classification_not_exact"), ("N2", "original_step_unknown")]),
-    ],
-)
-def test_one_break_each(spark, nodes, edges, want):
-    assert broken(build(spark, nodes, edges)) == want
+BREAKS = [
+    (GOOD_NODES + ["N3:humain:E3"], GOOD_EDGES, [("N3", "duplicate_id")]),
+    (["N1:trigger", "N2:robot", "N4:fin"], ["N1>N2", "N2>N4"], [("N2", "type_not_allowed")]),
+    (["N2:humain", "N4:fin"], ["N2>N4"], [("N2", "node_without_input"), ("N4", "end_unreachable"), ("w", "no_complete_path"), ("w", "no_trigger")]),
+    (["N1:trigger", "N2:humain"], ["N1>N2"], [("N2", "node_without_output"), ("w", "no_complete_path"), ("w", "no_end")]),
+    (GOOD_NODES, GOOD_EDGES + ["N2>N9"], [("N2->N9", "unknown_endpoint")]),
+    (GOOD_NODES, GOOD_EDGES + ["N3>N3"], [("N3->N3", "self_loop"), ("w", "cycle")]),
+    (GOOD_NODES, GOOD_EDGES + ["N3>N2"], [("w", "cycle")]),
+    (GOOD_NODES, GOOD_EDGES + ["N2>N1"], [("N1", "trigger_with_input"), ("w", "cycle")]),
+    (GOOD_NODES, GOOD_EDGES + ["N4>N3"], [("N4", "end_with_output"), ("w", "cycle")]),
+    (GOOD_NODES + ["N5:ia"], GOOD_EDGES, [("N5", "node_without_input"), ("N5", "node_without_output")]),
+    (GOOD_NODES + ["N5:fin"], GOOD_EDGES, [("N5", "end_unreachable"), ("N5", "end_without_input")]),
+    (GOOD_NODES + ["N5:decision"], GOOD_EDGES + ["N2>N5", "N5>N4?yes"], [("N5", "decision_needs_two_outputs")]),
+    (GOOD_NODES + ["N5:decision"], GOOD_EDGES + ["N2>N5", "N5>N4", "N5>N3? "], [("N5", "decision_needs_condition")]),
+    (["N1:trigger", "N2:automatique:E9", "N4:fin"], ["N1>N2", "N2>N4"], [("E9", "classification_not_exact"), ("N2", "original_step_unknown")]),
+]
+
+
+def test_one_break_each_all_workflows_at_once(spark):
+    parts = [build(spark, nodes, edges, workflow=f"w{i}") for i, (nodes, edges, _) in enumerate(BREAKS)]
+    tables = [union_all(list(frames)) for frames in zip(*parts)]
+    found = {f"w{i}": [] for i in range(len(BREAKS))}
+    for r in workflow_rules.workflow_violations(*tables).collect():
+        found[r.scope_id].append(("w" if r.subject_id == r.scope_id else r.subject_id, r.rule))
+    assert [sorted(v) for v in found.values()] == [want for _, _, want in BREAKS]
 
 
 def test_labels_headers_and_empty_workflow(spark):
@@ -123,8 +126,8 @@ def test_long_chain_and_long_cycle(spark):
     assert graph.reachable(edges, start).count() == 21
 
 
-def advice(spark, **change):
-    _, nodes, _, _ = build(spark, GOOD_NODES, GOOD_EDGES)
+def advice(spark, workflow="w", **change):
+    _, nodes, _, _ = build(spark, GOOD_NODES, GOOD_EDGES, workflow=workflow)
     t = {
         "reports": [("w", "start with the scoring step then extend to interviews once the team is used to it")],
         "recs": [("w", "N2", "Node N2"), ("w", "N3", "Node N3")],
@@ -139,34 +142,38 @@ def advice(spark, **change):
         "tools": "workflow_id string, noeud_id string, nom string, justification string, complexite string, priorite string",
         "stacks": "workflow_id string, stack string, nom string",
     }
-    df = {k: spark.createDataFrame(v, schemas[k]) for k, v in t.items()}
+    own = {k: [(workflow if r[0] == "w" else r[0], *r[1:]) for r in v] for k, v in t.items()}
+    df = {k: spark.createDataFrame(v, schemas[k]) for k, v in own.items()}
     names = spark.createDataFrame([("Zap",), ("Cal",), ("Notion",), ("Jira",), ("Linear",)], "name string")
     return df, nodes, names
 
 
-@pytest.mark.parametrize(
-    "change, want",
-    [
-        ({}, []),
-        ({"recs": lambda r: r[:1]}, [("N3", "node_not_covered")]),
-        ({"recs": lambda r: r + [("w", "N9", "Node N2")]}, [("N9", "no_tools"), ("N9", "unknown_node")]),
-        ({"recs": lambda r: r + r[:1]}, [("N2", "duplicate_recommendation")]),
-        ({"recs": lambda r: r[:1] + [("w", "N3", "other")]}, [("N3", "unknown_label")]),
-        ({"tools": lambda r: r[:1]}, [("N3", "no_tools")]),
-        ({"tools": lambda r: r + [("w", "N3", "Foo", "x", "faible", "essentiel")]}, [("N3/Foo", "tool_not_in_catalog")]),
-        ({"tools": lambda r: r + r[:1]}, [("N2/Zap", "duplicate_tool")]),
-        ({"tools": lambda r: r + [("w", "N3", "Zap", " ", "expert", "critique")]},
-         [("N3/Zap", "complexity_not_allowed"), ("N3/Zap", "justification_blank"), ("N3/Zap", "priority_not_allowed")]),
-        ({"stacks": lambda r: r[:2] + [("w", "minimale", "Cal")]}, [("Cal", "not_in_complete")]),
-        ({"stacks": lambda r: r[1:]}, [("w", "stack_minimale_empty")]),
-        ({"stacks": lambda r: r + r[2:]}, [("complete/Cal", "duplicate_entry")]),
-        ({"reports": lambda r: [("w", " ")]}, [("w", "advice_blank")]),
-    ],
-)
-def test_recommendation_rules(spark, change, want):
-    df, nodes, names = advice(spark, **change)
-    found = advisor_rules.advisor_violations(df["reports"], df["recs"], df["tools"], df["stacks"], nodes, names)
-    assert sorted((r.subject_id, r.rule) for r in found.collect()) == want
+ADVICE_BREAKS = [
+    ({}, []),
+    ({"recs": lambda r: r[:1]}, [("N3", "node_not_covered")]),
+    ({"recs": lambda r: r + [("w", "N9", "Node N2")]}, [("N9", "no_tools"), ("N9", "unknown_node")]),
+    ({"recs": lambda r: r + r[:1]}, [("N2", "duplicate_recommendation")]),
+    ({"recs": lambda r: r[:1] + [("w", "N3", "other")]}, [("N3", "unknown_label")]),
+    ({"tools": lambda r: r[:1]}, [("N3", "no_tools")]),
+    ({"tools": lambda r: r + [("w", "N3", "Foo", "x", "faible", "essentiel")]}, [("N3/Foo", "tool_not_in_catalog")]),
+    ({"tools": lambda r: r + r[:1]}, [("N2/Zap", "duplicate_tool")]),
+    ({"tools": lambda r: r + [("w", "N3", "Zap", " ", "expert", "critique")]},
+     [("N3/Zap", "complexity_not_allowed"), ("N3/Zap", "justification_blank"), ("N3/Zap", "priority_not_allowed")]),
+    ({"stacks": lambda r: r[:2] + [("w", "minimale", "Cal")]}, [("Cal", "not_in_complete")]),
+    ({"stacks": lambda r: r[1:]}, [("w", "stack_minimale_empty")]),
+    ({"stacks": lambda r: r + r[2:]}, [("complete/Cal", "duplicate_entry")]),
+    ({"reports": lambda r: [("w", " ")]}, [("w", "advice_blank")]),
+]
+
+
+def test_recommendation_rules_all_reports_at_once(spark):
+    cases = [advice(spark, f"w{i}", **change) for i, (change, _) in enumerate(ADVICE_BREAKS)]
+    df = {k: union_all([case[0][k] for case in cases]) for k in cases[0][0]}
+    nodes, names = union_all([case[1] for case in cases]), cases[0][2]
+    found = {f"w{i}": [] for i in range(len(cases))}
+    for r in advisor_rules.advisor_violations(df["reports"], df["recs"], df["tools"], df["stacks"], nodes, names).collect():
+        found[r.scope_id].append(("w" if r.subject_id == r.scope_id else r.subject_id, r.rule))
+    assert [sorted(v) for v in found.values()] == [want for _, want in ADVICE_BREAKS]
 
 
 def test_label_of_another_node_only_strict(spark):

@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.operators.rules import union_all
 from tracemill.session import checkpoint
 
+# Rounds kept as separate pieces before they are written as one.
+_MAX_PIECES = 8
+
 # Texts and ids of repaired boundaries.
 START_LABEL, END_LABEL = "Start", "End"
 TRIGGER_PREFIX, FIN_PREFIX = "trigger", "fin"
@@ -101,17 +105,20 @@ def cyclic_workflows(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(workflow_id, id) reachable from ``sources``, themselves included."""
-    links = edges.select("workflow_id", F.col("de").alias("id"), "vers").distinct()
-    found = frontier = checkpoint(sources.select("workflow_id", "id").distinct())
+    links = checkpoint(edges.select("workflow_id", F.col("de").alias("id"), "vers").distinct())
+    frontier = checkpoint(sources.select("workflow_id", "id").distinct())
+    found = [frontier]
     while not frontier.isEmpty():
         reached = (
             links.join(frontier, ["workflow_id", "id"])
             .select("workflow_id", F.col("vers").alias("id"))
             .distinct()
         )
-        frontier = checkpoint(reached.join(found, ["workflow_id", "id"], "left_anti"))
-        found = checkpoint(found.unionByName(frontier))
-    return found
+        frontier = checkpoint(reached.join(union_all(found), ["workflow_id", "id"], "left_anti"))
+        found.append(frontier)
+        if len(found) > _MAX_PIECES:
+            found = [checkpoint(union_all(found))]
+    return union_all(found)
 
 
 def unreachable_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
