@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from tracemill.functions.scalars import as_timestamp, safe_double
 from tracemill.operators.columns import named, require
 
-LOG_KEY = ["process_id", "case_id", "activity", "timestamp"]
-
 
 def event_log(
     df: DataFrame,
@@ -40,7 +38,7 @@ def event_log(
             return F.lit(None).cast("timestamp")
         return as_timestamp(named(name), types[name])
 
-    return df.select(
+    rows = _present(df, [case_id, activity, timestamp]).select(
         process_col.cast("string").alias("process_id"),
         named(case_id).cast("string").alias("case_id"),
         named(activity).cast("string").alias("activity"),
@@ -48,7 +46,15 @@ def event_log(
         moment(start).alias("start_timestamp"),
         moment(end).alias("end_timestamp"),
         tie.cast("long").alias("tiebreak"),
-    ).na.drop(subset=LOG_KEY)
+    )
+    return rows.filter(F.col("process_id").isNotNull() & F.col("timestamp").isNotNull())
+
+
+def _present(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Drop rows with a null in ``columns``; on source columns the scan takes the filter."""
+    for c in columns:
+        df = df.filter(named(c).isNotNull())
+    return df
 
 
 def duration_log(
@@ -61,12 +67,12 @@ def duration_log(
     """P18 + F3: (process_id, case_id, activity, duration_minutes), complete rows only."""
     require(df, [case_id, activity, duration])
     process_col = F.lit(process) if isinstance(process, str) else process
-    return df.select(
+    return _present(df, [case_id, activity, duration]).select(
         process_col.cast("string").alias("process_id"),
         named(case_id).cast("string").alias("case_id"),
         named(activity).cast("string").alias("activity"),
         safe_double(named(duration)).alias("duration_minutes"),
-    ).na.drop(subset=["case_id", "activity", "duration_minutes"])
+    ).filter(F.col("duration_minutes").isNotNull())
 
 
 def processes_without_rows(processes: DataFrame, log: DataFrame) -> DataFrame:

@@ -165,6 +165,10 @@ def ensure_boundaries(
     nothing leaves, ends aside, are linked to the first end. ``workflows`` may add
     workflow ids that have no node yet.
     """
+    all_nodes, all_edges = nodes, edges
+    # The decisions need keys only; written once, they serve every branch below.
+    nodes = checkpoint(nodes.select("workflow_id", "id", "type_noeud", "ord"))
+    edges = checkpoint(edges.select("workflow_id", "de", "vers", "ord"))
     scopes = nodes.select("workflow_id")
     if workflows is not None:
         scopes = scopes.unionByName(workflows.select("workflow_id"))
@@ -176,17 +180,17 @@ def ensure_boundaries(
         F.min_by(F.when(F.col("type_noeud") == "fin", F.col("id")), F.when(F.col("type_noeud") == "fin", F.col("ord"))).alias("_fin"),
         F.max("ord").alias("_ord"),
     )
-    state = scopes.join(kinds, "workflow_id", "left")
+    state = checkpoint(scopes.join(kinds, "workflow_id", "left"))
     no_trigger = state.filter(F.coalesce("_triggers", F.lit(0)) == 0)
     no_fin = state.filter(F.coalesce("_fins", F.lit(0)) == 0)
     trigger_ids = unique_node_id(nodes, no_trigger, TRIGGER_PREFIX)
     fin_ids = unique_node_id(nodes, no_fin, FIN_PREFIX)
 
-    added_nodes = _boundary(no_trigger, trigger_ids, 1, START_LABEL, "trigger", "entry added", nodes).unionByName(
-        _boundary(no_fin, fin_ids, 2, END_LABEL, "fin", "end added", nodes)
+    added_nodes = _boundary(no_trigger, trigger_ids, 1, START_LABEL, "trigger", "entry added", all_nodes).unionByName(
+        _boundary(no_fin, fin_ids, 2, END_LABEL, "fin", "end added", all_nodes)
     )
 
-    placed = degrees(nodes.select("workflow_id", "id", "type_noeud").distinct(), edges)
+    placed = checkpoint(degrees(nodes.select("workflow_id", "id", "type_noeud").distinct(), edges))
     roots = placed.filter(F.col("indegree") == 0).select("workflow_id", F.col("id").alias("vers"))
     rootless = no_trigger.filter(F.col("_first").isNotNull()).join(
         roots.select("workflow_id").distinct(), "workflow_id", "left_anti"
@@ -213,7 +217,7 @@ def ensure_boundaries(
         .withColumn("_new_ord", F.coalesce("_last", F.lit(0)) + F.col("_step"))
     )
     filled = {"workflow_id": F.col("workflow_id"), "de": F.col("de"), "vers": F.col("vers"), "ord": F.col("_new_ord")}
-    return nodes.unionByName(added_nodes), edges.unionByName(_fill(added_edges, filled, edges))
+    return all_nodes.unionByName(added_nodes), all_edges.unionByName(_fill(added_edges, filled, all_edges))
 
 
 def _boundary(

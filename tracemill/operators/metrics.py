@@ -123,11 +123,15 @@ def _with_user(df: DataFrame, user_metrics: DataFrame | None) -> DataFrame:
     """Left join of user values as ``u_<metric>`` columns."""
     if user_metrics is None:
         return df.select("*", *[F.lit(None).cast("double").alias(f"u_{m}") for m in METRICS])
+    return df.join(_user_values(user_metrics), "process_id", "left")
+
+
+def _user_values(user_metrics: DataFrame) -> DataFrame:
     given = [
         (F.col(m).cast("double") if m in user_metrics.columns else F.lit(None).cast("double")).alias(f"u_{m}")
         for m in METRICS
     ]
-    return df.join(user_metrics.select("process_id", *given), "process_id", "left")
+    return user_metrics.select("process_id", *given)
 
 
 def _volume_metric() -> Column:
@@ -235,7 +239,7 @@ def report_from_durations(durations: DataFrame, user_metrics: DataFrame | None =
 
 def report_from_user(user_metrics: DataFrame) -> DataFrame:
     """Time report of user values only (process_id, monthly_volume, ...)."""
-    base = _with_user(user_metrics.select("process_id"), user_metrics)
+    base = _user_values(user_metrics)
     manual, waiting = F.col("u_manual_time_minutes"), F.col("u_waiting_time_minutes")
 
     def given(name: str) -> Column:

@@ -228,9 +228,9 @@ def c14(spark, d):
 
 
 @query("a18_telemetry", f"""select l_orderkey run_id, {r2('sum(' + r2('l_quantity / 7', 3) + ')', 3)} total_latency_seconds,
-sum(case when l_linenumber % 3 <> 0 then l_partkey else 0 end) total_prompt_tokens,
-sum(l_suppkey) total_completion_tokens,
-sum(case when l_linenumber % 3 <> 0 then l_partkey else 0 end) + sum(l_suppkey) total_tokens
+cast(sum(case when l_linenumber % 3 <> 0 then l_partkey else 0 end) as bigint) total_prompt_tokens,
+cast(sum(l_suppkey) as bigint) total_completion_tokens,
+cast(sum(case when l_linenumber % 3 <> 0 then l_partkey else 0 end) + sum(l_suppkey) as bigint) total_tokens
 from lineitem group by 1""")
 def a18(spark, d):
     usage = table(spark, d, "lineitem").select(
