@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tracemill.llm import counts, mixing, mod_crc, packing, pages, quality, query, secret_scan, table, toxicity, vptree
+from tracemill.llm import brown, counts, mixing, mod_crc, packing, pages, quality, query, secret_scan, table, toxicity, vptree
 
 
 @query("op2_toxicity")
@@ -83,3 +83,8 @@ def op8(spark, d):
 def op9(spark, d):
     found = vptree.nearest(table(spark, d, "embeddings"), F.col("id") % 20 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op1_brown")
+def op1(spark, d):
+    return brown.score(table(spark, d, "documents"), mod_crc("doc_id", 10) == 0)

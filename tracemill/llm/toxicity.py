@@ -7,6 +7,7 @@ the model is a short list of (feature, weight) that every task holds.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,7 +21,7 @@ from tracemill.llm import ship
 from tracemill.llm import text as X
 
 BITS = 21
-MAX_ROWS = 16_000  # labelled rows learned from; those with the smallest hash of their id
+MAX_ROWS = 8_000  # labelled rows learned from; those with the smallest hash of their id
 SKIPS = (2, 3)  # distances of the words of a skip-gram
 STEMS = (4, 5, 6)  # first bytes of a word that count as a word of their own
 
@@ -28,11 +29,11 @@ STEMS = (4, 5, 6)  # first bytes of a word that count as a word of their own
 class Settings(NamedTuple):
     """FTRL-proximal: rate alpha / (beta + sqrt(sum of squared gradients)) per coordinate."""
 
-    alpha: float = 0.3
+    alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 0.6
-    l2: float = 1.0
-    epochs: int = 4
+    l1: float = 5.0  # for a thousand rows; grows with the root of their number
+    l2: float = 0.0
+    epochs: int = 3
 
 
 class Model(NamedTuple):
@@ -66,7 +67,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def learn(rows: list[tuple[np.ndarray, int]], settings: Settings = Settings()) -> Model:
     """FTRL-proximal over (distinct features, label) rows, in a seeded order."""
-    s, size = settings, 1 << BITS
+    s, size = settings._replace(l1=settings.l1 * (len(rows) / 1000) ** 0.5), 1 << BITS
     z, n = np.zeros(size), np.zeros(size)
     rng = np.random.default_rng(7)
     for _ in range(s.epochs):
@@ -92,21 +93,25 @@ def fit(labelled: DataFrame, label_col: str = "label", text_col: str = "text", s
     """
     ship(labelled.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[np.ndarray, int]] = []
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = batch.column(1).to_pylist()
             data, offsets = X.utf8(batch.column(0))
             for lo, hi in X.groups(offsets):
                 row, feature = features(data, offsets[lo : hi + 1])
                 pairs = np.unique(row << BITS | feature)
                 at = X.bounds(pairs >> BITS, hi - lo)
                 feature = (pairs & ((1 << BITS) - 1)).astype(np.int32)
-                rows += [(np.append(feature[at[i] : at[i + 1]], np.int32(0)), labels[lo + i]) for i in range(hi - lo)]
-        model = learn(rows, settings)
+                lists = [np.append(feature[at[i] : at[i + 1]], np.int32(0)).tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.binary()), batch.column(1).slice(lo, hi - lo)], ["f", "label"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = [(f, y) for batch in batches for f, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        lists.sort(key=lambda r: (zlib.crc32(r[0]), r))  # the same order however the rows arrive
+        model = learn([(np.frombuffer(f, np.int32), y) for f, y in lists], settings)
         yield pa.RecordBatch.from_arrays([pa.array([model.features.tobytes()]), pa.array([model.weights.tobytes()])], ["f", "w"])
 
-    one = labelled.filter(F.col(label_col).isNotNull()).select(text_col, F.col(label_col).cast("int")).orderBy(F.xxhash64(text_col), text_col).coalesce(1)
+    rows = labelled.filter(F.col(label_col).isNotNull()).select(text_col, F.col(label_col).cast("int"))
+    one = rows.mapInArrow(prepare, "f binary, label int").repartition(1)
     got = [r for r in one.mapInArrow(run, "f binary, w binary").collect() if r.f is not None]
     if not got:
         return Model(np.zeros(0, np.int32), np.zeros(0, np.float32))

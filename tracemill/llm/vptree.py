@@ -23,9 +23,9 @@ from tracemill.llm import ship
 from tracemill.session import checkpoint
 
 SHARD = 4096  # vectors of a shard, about
-LEAF = 128
+LEAF = 256
 BLOCK = 256  # queries that travel together
-RELAX = 2.0
+RELAX = 4.0
 
 
 def build(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, list[np.ndarray], list[list[tuple[int, float, float]]]]:
