@@ -3,8 +3,9 @@
 Every word belongs to one class, and a text's probability is the product, over its words and one end
 per text, of a class transition and the emission of the word by its class. Classes come from exchange
 clustering: a word moves to the class that raises the class-bigram likelihood of the training words
-most. Clustering is distributed: all words of a round look at the class counts of the last one, and
-half of the words, in turn, may move. Words above a rate of the training words are exchanged; the
+most. Clustering is distributed: the tasks of a round each exchange their own words in turn, from the
+class counts of the last round; as the classes settle, fewer tasks take larger shares, so that
+moves do not work against each other. Words above a rate of the training words are exchanged; the
 number of such words is at most one over the rate, whatever the corpus. Every other word then takes
 the class that explains its own neighbours best.
 
@@ -30,7 +31,7 @@ from tracemill.session import checkpoint
 SEGMENT = 16 << 20  # bytes of text
 RATE = 1e-4  # words at least as frequent are exchanged; at most 1 / RATE words
 CLASSES = 32
-ROUNDS = 10
+ROUNDS = (8, 4, 2, 1, 1, 1)  # tasks in each round of the exchange
 DELTA = 0.1  # added to counts of words
 PRIOR = 20.0  # strength of the class distribution behind a transition
 
@@ -156,7 +157,7 @@ def _numbers(keys: np.ndarray, known: np.ndarray, other: int) -> np.ndarray:
 
 
 def adjacency(segments: DataFrame, words: np.ndarray) -> DataFrame:
-    """(w, others, counts_after, counts_before): neighbours of each frequent word, in training texts.
+    """(w, others, after, before): neighbours and their counts of each frequent word, in training texts.
 
     Numbers: a word's place in ``words``, then "another word", then "end". A row has at most as
     many entries as there are frequent words.
@@ -174,10 +175,11 @@ def adjacency(segments: DataFrame, words: np.ndarray) -> DataFrame:
     pairs = segments.drop("doc").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     after = pairs.select(F.col("a").alias("w"), F.struct(F.col("b").alias("o"), "n", F.lit(0).cast("long").alias("m")).alias("x"))
     before = pairs.select(F.col("b").alias("w"), F.struct(F.col("a").alias("o"), F.lit(0).cast("long").alias("n"), F.col("n").alias("m")).alias("x"))
-    return checkpoint(
+    grouped = (
         after.unionByName(before).groupBy("w", F.col("x.o").alias("o")).agg(F.sum("x.n").alias("n"), F.sum("x.m").alias("m"))
-        .groupBy("w").agg(F.collect_list(F.struct("o", "n", "m")).alias("x"))
+        .groupBy("w").agg(F.array_sort(F.collect_list(F.struct("o", "n", "m"))).alias("x"))
     )
+    return checkpoint(grouped.select("w", F.col("x.o").alias("others"), F.col("x.n").alias("after"), F.col("x.m").alias("before")))
 
 
 def _entropy(x: np.ndarray) -> np.ndarray:
@@ -208,53 +210,89 @@ def best_move(out: np.ndarray, into: np.ndarray, loops: float, own: int, g: np.n
     return best if gain[best] > gain[own] + 1e-9 else own
 
 
-def exchange(links: DataFrame, n_words: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+class _Links(NamedTuple):
+    """Neighbours of some words: entry j of a word from start[i] to start[i + 1]."""
+
+    word: np.ndarray
+    start: np.ndarray
+    other: np.ndarray
+    after: np.ndarray
+    before: np.ndarray
+
+    @classmethod
+    def of(cls, batches: Iterator[pa.RecordBatch]) -> _Links | None:
+        t = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
+        if t is None or not t.num_rows:
+            return None
+        lists = [t[c].combine_chunks() for c in ("others", "after", "before")]
+        start = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy())])
+        return cls(t["w"].to_numpy(), start, *(x.flatten().to_numpy() for x in lists))
+
+    def shares(self, i: int, label: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """The word's followers and predecessors by class, and its repetitions."""
+        s = slice(self.start[i], self.start[i + 1])
+        cls, n = label[self.other[s]], self.after[s]
+        out = np.bincount(cls, weights=n, minlength=total)
+        into = np.bincount(cls, weights=self.before[s], minlength=total)
+        return out, into, float(n[self.other[s] == self.word[i]].sum())
+
+
+def exchange(links: DataFrame, n_words: int, classes: int = CLASSES, rounds: tuple[int, ...] = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(class of each frequent word, class bigrams) by distributed exchange.
 
-    "Another word" and "end" have classes of their own, which take no words.
+    "Another word" and "end" have classes of their own, which take no words. ``rounds`` are numbers
+    of tasks; one task holds all words at most, which the rate of frequent words bounds.
     """
     total = classes + 2
     label = np.concatenate([np.arange(n_words) % classes, [classes, classes + 1]]).astype(np.int64)
 
-    def per_word(batches, now):
-        for r in _rows(batches):
-            o = np.array([x["o"] for x in r["x"]])
-            n = np.array([x["n"] for x in r["x"]], dtype=np.float64)
-            m = np.array([x["m"] for x in r["x"]], dtype=np.float64)
-            out = np.bincount(now[o], weights=n, minlength=total)
-            into = np.bincount(now[o], weights=m, minlength=total)
-            yield r["w"], out, into, float(n[o == r["w"]].sum())
-
     def bigrams(now: np.ndarray) -> np.ndarray:
         def run(batches):
-            g = np.zeros((total, total))
-            for w, out, _, _ in per_word(batches, now):
-                g[now[w]] += out
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total * total)), pa.array(g.ravel())], ["cell", "n"])
+            rows = _Links.of(batches)
+            if rows is not None:
+                first = np.repeat(now[rows.word], np.diff(rows.start))
+                g = np.bincount(first * total + now[rows.other], weights=rows.after, minlength=total * total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(total * total)), pa.array(g)], ["cell", "n"])
 
-        rows = links.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
         g = np.zeros(total * total)
-        for r in rows:
+        for r in links.mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
             g[r.cell] = r.n
         return g.reshape(total, total)
 
-    def moved(now: np.ndarray, g: np.ndarray, turn: int) -> np.ndarray:
+    def moved(now: np.ndarray, g: np.ndarray, tasks: int) -> np.ndarray:
         def run(batches):
-            ws, cs = [], []
-            for w, out, into, loops in per_word(batches, now):
-                if w < n_words and (turn < 0 or X.mix(np.array([w], dtype=np.uint64))[0] % np.uint64(2) == turn % 2):
-                    ws.append(w)
-                    cs.append(best_move(out, into, loops, int(now[w]), g, classes))
-            yield pa.RecordBatch.from_arrays([pa.array(ws, pa.int64()), pa.array(cs, pa.int64())], ["w", "c"])
+            rows = _Links.of(batches)
+            if rows is None:
+                return
+            mine, counts = now.copy(), g.copy()
+            for i in np.argsort(rows.word).tolist():
+                w = int(rows.word[i])
+                if w >= n_words:
+                    continue
+                out, into, loops = rows.shares(i, mine, total)
+                old = int(mine[w])
+                new = best_move(out, into, loops, old, counts, classes)
+                if new != old:
+                    counts[old] -= out
+                    counts[:, old] -= into
+                    counts[old, old] += loops
+                    out[old] -= loops
+                    into[old] -= loops
+                    counts[new] += out
+                    counts[:, new] += into
+                    counts[new, new] += loops
+                    mine[w] = new
+            own = rows.word[rows.word < n_words]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(mine[own])], ["w", "c"])
 
         new = now.copy()
-        for r in links.mapInArrow(run, "w long, c long").collect():
+        for r in links.repartition(tasks, F.col("w") % tasks).mapInArrow(run, "w long, c long").collect():
             new[r.w] = r.c
         return new
 
-    for turn in range(rounds if n_words else 0):
-        new = moved(label, bigrams(label), turn)
-        if turn and (new == label).all():
+    for tasks in rounds if n_words else ():
+        new = moved(label, bigrams(label), tasks)
+        if (new == label).all():
             break
         label = new
     return label, bigrams(label)
@@ -372,7 +410,7 @@ def _cells(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob[: 2 * n], np.uint16), np.frombuffer(blob[2 * n :], np.int32)
 
 
-def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, rate: float = RATE, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, rate: float = RATE, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
     ``held`` is a condition; the model learns from the rows where it is false. A null text is empty:
