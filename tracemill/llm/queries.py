@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tracemill.llm import brown, counts, mixing, mod_crc, packing, pages, quality, query, secret_scan, table, toxicity, vptree
+from tracemill.llm import brown, counts, minhash, mixing, mod_crc, packing, pages, quality, query, secret_scan, table, toxicity, vptree
 
 
 @query("op2_toxicity")
@@ -88,3 +88,8 @@ def op9(spark, d):
 @query("op1_brown")
 def op1(spark, d):
     return brown.score(table(spark, d, "documents"), mod_crc("doc_id", 10) == 0)
+
+
+@query("op10_probminhash")
+def op10(spark, d):
+    return minhash.near_duplicates(table(spark, d, "documents")).select("doc_id", "class_id")
