@@ -6,10 +6,11 @@ shingle can arrive before the latest register any more. Two texts agree in a reg
 of their probability Jaccard similarity.
 
 Texts with the same words are one node. Nodes that share a band of registers are candidates; a link
-needs the exact similarity of their shingles. A bucket first compares all its nodes with its first
-one. Only nodes that are still in another component than most of their bucket are then compared with
-the others, so a group of thousands of near copies never gives all its pairs, and no link between
-different components is lost.
+needs the exact similarity of their shingles. Each node is first compared with one node of its
+buckets, the bucket leader that it shares most bands with. Then components are compared: in each
+bucket that holds several, one node of each with one of the largest. Only the nodes that are still
+in another component than most of their bucket are compared with all others there. So a group of
+thousands of near copies never gives all its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ BANDS = 24
 BAND_ROWS = 6
 # Of 128 one-bit registers; at the threshold 12.8 differ on average, with a deviation of 3.4.
 MOST_BITS = 30
+MERGING_ROUNDS = 2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -160,7 +162,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, t
     Only texts of nodes in ``pairs`` are read again. A pair meets the text of ``v``, which stands in
     few pairs, before that of ``u``, which may stand in many.
     """
-    pairs = checkpoint(pairs)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(reps, "node")
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,34 +210,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("key", "lead")
     members = checkpoint(rows.join(buckets, "key"))
     bits = uniq.select("node", "b1", "b2")
-    star = members.filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"), F.col("b1").alias("vb1"), F.col("b2").alias("vb2")).distinct()
-    lead = bits.select(F.col("node").alias("u"), F.col("b1").alias("ub1"), F.col("b2").alias("ub2"))
-    first = star.join(lead, "u").filter(_differ("u", "v") <= MOST_BITS).select("u", "v")
-    tested = _verified(first, docs, reps, id_col, text_col, threshold)
-    links = tested.filter("similar").select("u", "v")
     nodes = uniq.select(F.col("node").alias("id"))
-    part = checkpoint(connected_components(nodes, links)).select(F.col("id").alias("node"), F.col("component").alias("part"))
-
-    # What is left: buckets with several components. Their smaller ones meet everything else there.
-    placed = members.select("key", "node", "b1", "b2").join(part, "node")
-    sizes = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "main")
-    placed = checkpoint(placed.join(mixed, "key"))
-    a = placed.filter("part <> main").select("key", *[F.col(c).alias(f"a{c}") for c in ("node", "part", "b1", "b2")])
-    b = placed.select("key", *[F.col(c).alias(f"b{c}") for c in ("node", "part", "main", "b1", "b2")])
-    more = (
-        a.join(b, "key")
-        .filter((F.col("apart") != F.col("bpart")) & ((F.col("bpart") == F.col("bmain")) | (F.col("anode") < F.col("bnode"))) & (_differ("a", "b") <= MOST_BITS))
-        .select(F.least("anode", "bnode").alias("u"), F.greatest("anode", "bnode").alias("v"))
-        .distinct()
-        .join(tested, ["u", "v"], "left_anti")
-    )
-    late = _verified(more, docs, reps, id_col, text_col, threshold).filter("similar").select("u", "v")
-    if not late.isEmpty():
-        part = checkpoint(connected_components(nodes, links.unionByName(late))).select(F.col("id").alias("node"), F.col("component").alias("part"))
-    named = drawn.select(id_col, "node").join(part, "node")
-    names = named.groupBy("part").agg(F.min(id_col).alias("class_id"))
-    return named.join(names, "part").select(id_col, "node", "class_id")
+
+    def screened(pairs: DataFrame) -> DataFrame:
+        """Pairs (u, v) whose registers may belong to a link."""
+        u = bits.select(F.col("node").alias("u"), F.col("b1").alias("ub1"), F.col("b2").alias("ub2"))
+        v = bits.select(F.col("node").alias("v"), F.col("b1").alias("vb1"), F.col("b2").alias("vb2"))
+        return pairs.join(v, "v").join(u, "u").filter(_differ("u", "v") <= MOST_BITS).select("u", "v")
+
+    def parts(links: DataFrame) -> DataFrame:
+        found = checkpoint(connected_components(nodes, links))
+        return found.select(F.col("id").alias("node"), F.col("component").alias("part"))
+
+    shared = members.filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
+    leader = shared.groupBy("node").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
+    first = checkpoint(screened(leader.select(F.col("lead").alias("u"), F.col("node").alias("v"))))
+    tested = _verified(first, docs, reps, id_col, text_col, threshold)
+    part = parts(tested.filter("similar").select("u", "v"))
+    for turn in range(MERGING_ROUNDS + 1):
+        # Buckets with several components; the largest of each is its main one.
+        placed = members.select("key", "node", "b1", "b2").join(part, "node")
+        each = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64(F.lit(turn), F.col("node"))).alias("one"))
+        mixed = each.groupBy("key").agg(F.max_by(F.struct("part", "one"), F.struct("n", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        mixed = mixed.select("key", F.col("m.part").alias("main"), F.col("m.one").alias("centre"))
+        if turn < MERGING_ROUNDS:
+            pairs = each.join(mixed, "key").filter("part <> main").select(F.least("one", "centre").alias("u"), F.greatest("one", "centre").alias("v"))
+            pairs = screened(pairs.distinct())
+        else:
+            placed = checkpoint(placed.join(mixed, "key"))
+            a = placed.filter("part <> main").select("key", *[F.col(c).alias(f"a{c}") for c in ("node", "part", "b1", "b2")])
+            b = placed.select("key", *[F.col(c).alias(f"b{c}") for c in ("node", "part", "main", "b1", "b2")])
+            once = (F.col("bpart") == F.col("bmain")) | (F.col("anode") < F.col("bnode"))
+            pairs = a.join(b, (a["key"] == b["key"]) & (F.col("apart") != F.col("bpart")) & once & (_differ("a", "b") <= MOST_BITS))
+            pairs = pairs.select(F.least("anode", "bnode").alias("u"), F.greatest("anode", "bnode").alias("v")).distinct()
+        pairs = checkpoint(pairs.join(tested, ["u", "v"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        new = _verified(pairs, docs, reps, id_col, text_col, threshold)
+        tested = checkpoint(tested.unionByName(new))
+        if not new.filter("similar").isEmpty():
+            part = parts(tested.filter("similar").select("u", "v"))
+    names = checkpoint(reps.join(part, "node").groupBy("part").agg(F.min("rep").alias("class_id")))
+    named = checkpoint(part.join(names, "part").select("node", "class_id"))
+    return drawn.select(id_col, "node").join(named, "node")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
