@@ -53,11 +53,11 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back; cuts lineage."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -28,21 +28,37 @@ from tracemill.llm import ship, stored
 from tracemill.llm import text as X
 from tracemill.session import checkpoint
 
-SEGMENT = 16 << 20  # bytes of text
+SEGMENT = 8 << 20  # bytes of text
 RATE = 1e-4  # words at least as frequent are exchanged; at most 1 / RATE words
 CLASSES = 32
 ROUNDS = (8, 4, 2, 1, 1, 1)  # tasks in each round of the exchange
 DELTA = 0.1  # added to counts of words
 PRIOR = 20.0  # strength of the class distribution behind a transition
 
+PLACE_BITS = 24  # of a place in a segment's list of keys, below the segment's number
+# A segment is a few large values, so small row groups and no value dictionaries.
+LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.enable.dictionary": "false"}
+
 # Class numbers: 0 .. CLASSES - 1 by clustering, then the end of a text. A word of no known class
 # (not in the training texts) leaves the class before it in force.
 SEGMENTS = "segment long, keys binary, trained binary, doc binary, held binary, length binary, words binary"
 NAMES = [c.split()[0] for c in SEGMENTS.split(", ")]
 
 
+def _planes(words: np.ndarray) -> bytes:
+    """Numbers under 2**24 as three planes of bytes; the high ones, mostly 0, compress well."""
+    return words.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
+
+
+def _unplane(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(3, -1)
+    out = np.zeros((planes.shape[1], 4), dtype=np.uint8)
+    out[:, :3] = planes.T
+    return out.view("<u4").ravel().astype(np.int32)
+
+
 class Segment(NamedTuple):
-    """Texts of a segment. ``words`` are numbers into ``keys``; ``length`` counts them per text."""
+    """Texts of a segment. ``words`` are places in ``keys``, common ones first; ``length`` counts them per text."""
 
     keys: np.ndarray
     trained: np.ndarray  # how often each key stands in training texts
@@ -54,7 +70,7 @@ class Segment(NamedTuple):
     def of(cls, r: dict) -> Segment:
         return cls(
             np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["trained"], np.int64), np.frombuffer(r["held"], bool),
-            np.frombuffer(r["length"], np.int64), np.frombuffer(r["words"], np.int32),
+            np.frombuffer(r["length"], np.int64), _unplane(r["words"]),
         )
 
     def stream(self, number: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,14 +113,18 @@ def encode(docs: DataFrame, id_col: str, text_col: str, held, segment: int = SEG
         def flush() -> pa.RecordBatch:
             nonlocal serial, size
             length, out = np.concatenate(lengths), np.concatenate(held_)
-            distinct, words = np.unique(np.concatenate(keys), return_inverse=True)
+            distinct, words, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            common = np.argsort(-times, kind="stable")
+            place = np.empty(len(common), dtype=np.int32)
+            place[common] = np.arange(len(common), dtype=np.int32)
+            distinct, words = distinct[common], place[words]
             train = np.repeat(~out, length)
             trained = np.bincount(words[train], minlength=len(distinct)).astype(np.int64)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", ids[0].type)])) as w:
                 for a in ids:
                     w.write_batch(pa.RecordBatch.from_arrays([a], ["id"]))
-            row = [(task << 32) + serial, distinct.tobytes(), trained.tobytes(), sink.getvalue().to_pybytes(), out.tobytes(), length.astype(np.int64).tobytes(), words.astype(np.int32).tobytes()]
+            row = [(task << 19) + serial, distinct.tobytes(), trained.tobytes(), sink.getvalue().to_pybytes(), out.tobytes(), length.astype(np.int64).tobytes(), _planes(words)]
             serial, size = serial + 1, 0
             for x in (keys, lengths, held_, ids):
                 x.clear()
@@ -374,7 +394,7 @@ DOCS = "n_tokens long, n_known long, base_score double, emission double, cells b
 def _measure(s: Segment, count: np.ndarray, cls: np.ndarray, t: Totals, classes: int, ends: int) -> dict[str, list]:
     """Per text: counts, base score, log10 emissions, and how often each class follows each.
 
-    Cells are (before * (classes + 2) + this) as uint16 and their counts as int32; ``classes + 1``
+    Up to 250 classes fit. Cells are (before * (classes + 2) + this) as uint16 and their counts as int32; ``classes + 1``
     stands for a word that training has not seen.
     """
     wide = classes + 2
@@ -419,10 +439,10 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     ship(spark)
-    segments = stored(encode(docs, id_col, text_col, held), "segments")
+    segments = stored(encode(docs, id_col, text_col, held), "segments", **LAYOUT)
     words = frequent(segments, rate)
     label, g = exchange(adjacency(segments, words), len(words), classes, rounds)
-    known = checkpoint(vocabulary(votes(segments, words, label, g, classes)))
+    known = stored(vocabulary(votes(segments, words, label, g, classes)), "vocabulary")
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
@@ -436,10 +456,11 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
             k = np.frombuffer(r["keys"], np.uint64).view(np.int64)
             for lo in range(0, len(k), 1 << 18):
                 part = k[lo : lo + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), r["segment"])), pa.array(np.arange(lo, lo + len(part), dtype=np.int32)), pa.array(part)], ["segment", "place", "key"])
+                slot = (r["segment"] << PLACE_BITS) + np.arange(lo, lo + len(part))
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(part)], ["slot", "key"])
 
-    wanted = segments.select("segment", "keys").mapInArrow(keys, "segment long, place int, key long")
-    told = wanted.join(known, "key").select("segment", "place", "n", F.col("class").cast("byte").alias("class"))
+    wanted = segments.select("segment", "keys").mapInArrow(keys, "slot long, key long")
+    told = wanted.join(known, "key").select("slot", F.expr("n * 256 + class").alias("fact"))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def measure(key, seg: pa.Table, info: pa.Table) -> pa.Table:
@@ -447,14 +468,16 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
         s = Segment.of(r)
         count = np.zeros(len(s.keys), dtype=np.int64)
         cls = np.full(len(s.keys), classes + 1, dtype=np.int64)
-        place = info["place"].to_numpy()
-        count[place], cls[place] = info["n"].to_numpy(), info["class"].to_numpy()
+        place = info["slot"].to_numpy() & ((1 << PLACE_BITS) - 1)
+        fact = info["fact"].to_numpy()
+        count[place], cls[place] = fact >> 8, fact & 255
         cols = _measure(s, count, cls, t, classes, n_ends)
         with pa.ipc.open_stream(r["doc"]) as f:
             ids = f.read_all()["id"].combine_chunks()
         return pa.table({id_col: ids, **{k: pa.array(v) for k, v in cols.items()}})
 
-    measured = checkpoint(segments.groupBy("segment").cogroup(told.groupBy("segment")).applyInArrow(measure, f"`{id_col}` {id_type}, {DOCS}"))
+    facts = told.groupBy(F.shiftright("slot", PLACE_BITS).alias("segment"))
+    measured = stored(segments.groupBy("segment").cogroup(facts).applyInArrow(measure, f"`{id_col}` {id_type}, {DOCS}"), "measures")
     wide = classes + 2
 
     def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
