@@ -9,8 +9,9 @@ Texts with the same words are one node. Nodes that share a band of registers are
 needs the exact similarity of their shingles. Each node is first compared with one node of its
 buckets, the bucket leader that it shares most bands with. Then components are compared: in each
 bucket that holds several, one node of each with one of the largest. Only the nodes that are still
-in another component than most of their bucket are compared with all others there. So a group of
-thousands of near copies never gives all its pairs, and no link between components is lost.
+in another component than most of their bucket are compared with the others there, as far as the
+shingles that a node shares with no other leave a link possible. So a group of thousands of near
+copies does not give all its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -127,11 +128,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _similar(a: bytes, b: bytes, threshold: float) -> bool:
-    def parts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-        n = len(blob) // 12
-        return np.frombuffer(blob[: 8 * n], np.uint64), np.frombuffer(blob[8 * n :], np.int32)
-
-    return max(similarity(parts(a), parts(b))) >= threshold - 1e-12
+    return max(similarity(_parts(a), _parts(b))) >= threshold - 1e-12
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -156,13 +153,8 @@ def _differ(a: str, b: str):
     return F.bit_count(F.col(f"{a}b1").bitwiseXOR(F.col(f"{b}b1"))) + F.bit_count(F.col(f"{a}b2").bitwiseXOR(F.col(f"{b}b2")))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """(u, v, similar) of each pair of nodes, by the exact similarity of their shingles.
-
-    Only texts of nodes in ``pairs`` are read again. A pair meets the text of ``v``, which stands in
-    few pairs, before that of ``u``, which may stand in many.
-    """
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(reps, "node")
+def _sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, set): shingle keys and counts of each of ``nodes``; only their texts are read again."""
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +171,56 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, t
                 ], ["node", "set"])
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    named = wanted.select("node", F.col("rep").alias("_rep"))
-    sets = texts.join(named, texts["_id"].eqNullSafe(named["_rep"])).select("node", "_text").mapInArrow(blobs, "node long, set binary").dropDuplicates(["node"])
-    sets = stored(sets, "shingle-sets")
+    named = nodes.join(reps, "node").select("node", F.col("rep").alias("_rep"))
+    found = texts.join(named, texts["_id"].eqNullSafe(named["_rep"])).select("node", "_text").mapInArrow(blobs, "node long, set binary")
+    return stored(found.dropDuplicates(["node"]), "shingle-sets")
+
+
+def _rareness(sets: DataFrame) -> DataFrame:
+    """(node, n, alone, share, flat): shingles of each node, how many no other node here has, their
+    share of the weight, and whether every shingle stands once."""
+
+    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [_parts(b) for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(k) for k, _ in both], pa.int64()), pa.array([bool((c == 1).all()) for _, c in both])], ["node", "n", "flat"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key, count = _parts(blob)
+                w = weight(count)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), node)), pa.array(w / w.sum())], ["key", "node", "p"])
+
+    single = sets.mapInArrow(each, "key long, node long, p double").groupBy("key").agg(F.min("node").alias("node"), F.min("p").alias("p"), F.count(F.lit(1)).alias("c")).filter("c = 1")
+    alone = single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"), F.sum("p").alias("share"))
+    return sets.mapInArrow(size, "node long, n long, flat boolean").join(alone, "node", "left").fillna(0, ["alone"]).fillna(0.0, ["share"])
+
+
+def _possible(threshold: float):
+    """Whether two nodes (columns a..., b...) can be similar, given what no other node shares.
+
+    At most n - alone shingles can be common, which bounds the Jaccard similarity; the probability
+    Jaccard is at most the weight that can be common. Exact bounds, so no link is lost.
+    """
+    common = F.least(F.col("an") - F.col("aalone"), F.col("bn") - F.col("balone"))
+    plain = common * (1 + threshold) >= threshold * (F.col("an") + F.col("bn")) - 1e-6
+    weighted = F.least(1 - F.col("ashare"), 1 - F.col("bshare")) >= threshold - 1e-6
+    return plain | (~(F.col("aflat") & F.col("bflat")) & weighted)
+
+
+def _parts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 12
+    return np.frombuffer(blob[: 8 * n], np.uint64), np.frombuffer(blob[8 * n :], np.int32)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(u, v, similar) of each pair of nodes, by the exact similarity of their shingles.
+
+    A pair meets the set of ``v``, which stands in few pairs, before that of ``u``, which may stand
+    in many.
+    """
+    sets = _sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, reps, id_col, text_col)
     right = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v")
     both = right.join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u").select("u", "v", "su", "sv")
 
@@ -238,10 +277,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = screened(pairs.distinct())
         else:
             placed = checkpoint(placed.join(mixed, "key"))
-            a = placed.filter("part <> main").select("key", *[F.col(c).alias(f"a{c}") for c in ("node", "part", "b1", "b2")])
-            b = placed.select("key", *[F.col(c).alias(f"b{c}") for c in ("node", "part", "main", "b1", "b2")])
+            if placed.isEmpty():
+                continue
+            facts = _rareness(_sets(placed.select("node").distinct(), docs, reps, id_col, text_col))
+            placed = checkpoint(placed.join(facts, "node"))
+            facts_of = ("node", "part", "main", "b1", "b2", "n", "alone", "share", "flat")
+            a = placed.filter("part <> main").select("key", *[F.col(c).alias(f"a{c}") for c in facts_of])
+            b = placed.select("key", *[F.col(c).alias(f"b{c}") for c in facts_of])
             once = (F.col("bpart") == F.col("bmain")) | (F.col("anode") < F.col("bnode"))
-            pairs = a.join(b, (a["key"] == b["key"]) & (F.col("apart") != F.col("bpart")) & once & (_differ("a", "b") <= MOST_BITS))
+            near = (_differ("a", "b") <= MOST_BITS) & _possible(threshold)
+            pairs = a.join(b, (a["key"] == b["key"]) & (F.col("apart") != F.col("bpart")) & once & near)
             pairs = pairs.select(F.least("anode", "bnode").alias("u"), F.greatest("anode", "bnode").alias("v")).distinct()
         pairs = checkpoint(pairs.join(tested, ["u", "v"], "left_anti"))
         if pairs.isEmpty():
