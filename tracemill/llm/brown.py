@@ -220,12 +220,11 @@ def best_move(out: np.ndarray, into: np.ndarray, loops: float, own: int, g: np.n
     out, into = out.copy(), into.copy()
     out[own] -= loops  # the word itself is in no class now
     into[own] -= loops
-    row, col = g.sum(1), g.sum(0)
+    row, col = g.sum(1) + into, g.sum(0) + out  # what its neighbours' classes get back wherever it goes
     gain = (_entropy(g + out) - _entropy(g)).sum(1) + (_entropy(g + into[:, None]) - _entropy(g)).sum(0)
     d = np.diag(g)  # the diagonal cell gets both shares and the loops
     gain += _entropy(d + out + into + loops) - _entropy(d + out) - _entropy(d + into) + _entropy(d)
     gain -= _entropy(row + out.sum() + loops) - _entropy(row) + _entropy(col + into.sum() + loops) - _entropy(col)
-    # Followers' and predecessors' totals do not depend on the class taken.
     best = int(np.argmax(gain[:free]))
     return best if gain[best] > gain[own] + 1e-9 else own
 

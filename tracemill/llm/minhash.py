@@ -317,5 +317,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     named = docs.mapInArrow(run, f"{fields}, _node long")
     found = named.join(kept, named[id_col].eqNullSafe(kept["_kept"]) & (named["_node"] == kept["_kept_node"]))
+    found = found.drop(kept["_kept"], kept["_kept_node"])
     again = F.row_number().over(Window.partitionBy(id_col, "_node").orderBy(text_col, *[c for c in columns if c not in (id_col, text_col)]))
     return found.withColumn("_again", again).filter("_again = 1").select(*columns)

@@ -141,7 +141,7 @@ def _scan(data: np.ndarray, offsets: np.ndarray, allow: list[re.Pattern]) -> dic
     return found
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[bytes, ...] = ALLOW, keep: tuple[str, ...] = ()) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[bytes, ...] = ALLOW, keep: tuple[str, ...] = (), spans_col: str = "spans") -> DataFrame:
     """(id, *keep, spans): ``spans`` are (kind, start, end) in code points, by start, then kind.
 
     Kinds are those of ``KINDS``; entropy spans within a span of another kind are not repeated. A
@@ -166,9 +166,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     np.cumsum((text & 0xC0) != 0x80, out=chars[1:])
                     spans[row] = [{"kind": KINDS[k], "start": int(chars[s]), "end": int(chars[e])} for s, k, e in sorted(hits)]
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*(part.column(columns.index(c)) for c in out), pa.array(spans, pa.list_(span))], [*out, "spans"])
+                yield pa.RecordBatch.from_arrays([*(part.column(columns.index(c)) for c in out), pa.array(spans, pa.list_(span))], [*out, spans_col])
 
-    return docs.select(*columns).mapInArrow(run, f"{fields}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select(*columns).mapInArrow(run, f"{fields}, `{spans_col}` array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def digest(spans: Column) -> Column:
@@ -189,7 +189,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Texts without a span, null included, stay as they are, as do the other columns.
     """
     others = tuple(docs.columns)
-    found = find_secrets(docs, id_col, text_col, keep=others)
+    found = find_secrets(docs, id_col, text_col, keep=others, spans_col="_secret_spans")
 
     # Spans are sorted by start: carry the text so far and the end of the last span.
     def step(acc: Column, s: Column) -> Column:
@@ -201,5 +201,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         )
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    masked = F.aggregate(F.col("spans"), start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, F.lit(2**31 - 1))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, masked).otherwise(F.col(text_col))).select(*others)
+    masked = F.aggregate(F.col("_secret_spans"), start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, F.lit(2**31 - 1))))
+    return found.withColumn(text_col, F.when(F.size("_secret_spans") > 0, masked).otherwise(F.col(text_col))).select(*others)
