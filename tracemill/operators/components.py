@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.session import checkpoint
 
+# A round reads its links in partitions of about this many.
+LINKS_A_PARTITION = 100_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
@@ -43,6 +48,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     current = checkpoint(links)
     state = _state(current)
     while state[0]:
+        current = current.coalesce(math.ceil(state[0] / LINKS_A_PARTITION))
         current = checkpoint(_small_star(_large_star(current)))
         previous, state = state, _state(current)
         if state == previous:
