@@ -232,6 +232,33 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, t
     return checkpoint(both.mapInArrow(compare, "u long, v long, similar boolean"))
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, part): the root above each node of (node, part), where ``part`` is a smaller node.
+
+    Every node has one parent, so the links are a forest: each round puts a node below its
+    parent's parent, and the number of rounds grows with the logarithm of the depth.
+    """
+    current = checkpoint(parents)
+    while True:
+        above = current.select(F.col("node").alias("part"), F.col("part").alias("_above"))
+        moved = current.select("node", "part").join(above, "part", "left")
+        current = checkpoint(moved.select("node", F.coalesce("_above", "part").alias("part"), F.col("_above").isNotNull().alias("_moved")))
+        if not current.agg(F.max("_moved")).first()[0]:
+            return current.select("node", "part")
+
+
+def _merged(part: DataFrame, links: DataFrame) -> DataFrame:
+    """``part`` (node, part) after new links (u, v) between nodes; only the parts they join are contracted."""
+    ends = links.select("u", "v")
+    for end in ("u", "v"):
+        at = part.select(F.col("node").alias(end), F.col("part").alias(f"_{end}"))
+        ends = ends.join(at, end)
+    ends = checkpoint(ends.select(F.col("_u").alias("u"), F.col("_v").alias("v")).filter("u <> v").distinct())
+    joined = ends.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    found = connected_components(joined, ends).select(F.col("id").alias("part"), F.col("component").alias("_whole"))
+    return checkpoint(part.join(found, "part", "left").select("node", F.coalesce("_whole", "part").alias("part")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, node, class_id): every row with its class, named by the smallest id of the class.
 
@@ -249,7 +276,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("key", "lead")
     members = checkpoint(rows.join(buckets, "key"))
     bits = uniq.select("node", "b1", "b2")
-    nodes = uniq.select(F.col("node").alias("id"))
 
     def screened(pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) whose registers may belong to a link."""
@@ -257,15 +283,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         v = bits.select(F.col("node").alias("v"), F.col("b1").alias("vb1"), F.col("b2").alias("vb2"))
         return pairs.join(v, "v").join(u, "u").filter(_differ("u", "v") <= MOST_BITS).select("u", "v")
 
-    def parts(links: DataFrame) -> DataFrame:
-        found = checkpoint(connected_components(nodes, links))
-        return found.select(F.col("id").alias("node"), F.col("component").alias("part"))
-
     shared = members.filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
     leader = shared.groupBy("node").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
     first = checkpoint(screened(leader.select(F.col("lead").alias("u"), F.col("node").alias("v"))))
     tested = _verified(first, docs, reps, id_col, text_col, threshold)
-    part = parts(tested.filter("similar").select("u", "v"))
+    roots = _roots(tested.filter("similar").select(F.col("v").alias("node"), F.col("u").alias("part")))
+    part = checkpoint(uniq.select("node").join(roots, "node", "left").select("node", F.coalesce("part", "node").alias("part")))
     for turn in range(MERGING_ROUNDS + 1):
         # Buckets with several components; the largest of each is its main one.
         placed = members.select("key", "node", "b1", "b2").join(part, "node")
@@ -292,9 +315,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if pairs.isEmpty():
             continue
         new = _verified(pairs, docs, reps, id_col, text_col, threshold)
-        tested = checkpoint(tested.unionByName(new))
+        tested = tested.unionByName(new)
         if not new.filter("similar").isEmpty():
-            part = parts(tested.filter("similar").select("u", "v"))
+            part = _merged(part, new.filter("similar"))
     names = checkpoint(reps.join(part, "node").groupBy("part").agg(F.min("rep").alias("class_id")))
     named = checkpoint(part.join(names, "part").select("node", "class_id"))
     return drawn.select(id_col, "node").join(named, "node")
