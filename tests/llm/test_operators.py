@@ -400,7 +400,11 @@ def test_registers_estimate_probability_jaccard():
     assert abs((s[0] == s[1]).mean() - exact) < 0.04
 
 
-def test_classes_equal_brute_force(spark, rows):
+@pytest.mark.parametrize("merging, chunk", [(minhash.MERGING_ROUNDS, minhash.BLOCK_SHINGLES), (0, 500)])
+def test_classes_equal_brute_force(spark, rows, monkeypatch, merging, chunk):
+    """Also with all work left to blocks, of a few texts each."""
+    monkeypatch.setattr(minhash, "MERGING_ROUNDS", merging)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", chunk)
     rng = random.Random(8)
     texts = [t for _, t in rows]
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]

@@ -9,9 +9,9 @@ Texts with the same words are one node. Nodes that share a band of registers are
 needs the exact similarity of their shingles. Each node is first compared with one node of its
 buckets, the bucket leader that it shares most bands with. Then components are compared: in each
 bucket that holds several, one node of each with one of the largest. Only the nodes that are still
-in another component than most of their bucket are compared with the others there, as far as the
-shingles that a node shares with no other leave a link possible. So a group of thousands of near
-copies does not give all its pairs, and no link between components is lost.
+in another component than most of their bucket are compared with the others there, in blocks that
+count exact overlaps and return links alone. So a group of thousands of near copies gives no row for
+each of its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ BAND_ROWS = 6
 # Of 128 one-bit registers; at the threshold 12.8 differ on average, with a deviation of 3.4.
 MOST_BITS = 30
 MERGING_ROUNDS = 2
+# Distinct shingles in a chunk of a bucket, on average; 12 bytes each.
+BLOCK_SHINGLES = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -176,39 +178,6 @@ def _sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_
     return stored(found.dropDuplicates(["node"]), "shingle-sets")
 
 
-def _rareness(sets: DataFrame) -> DataFrame:
-    """(node, n, alone, share, flat): shingles of each node, how many no other node here has, their
-    share of the weight, and whether every shingle stands once."""
-
-    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = [_parts(b) for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(k) for k, _ in both], pa.int64()), pa.array([bool((c == 1).all()) for _, c in both])], ["node", "n", "flat"])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key, count = _parts(blob)
-                w = weight(count)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), node)), pa.array(w / w.sum())], ["key", "node", "p"])
-
-    single = sets.mapInArrow(each, "key long, node long, p double").groupBy("key").agg(F.min("node").alias("node"), F.min("p").alias("p"), F.count(F.lit(1)).alias("c")).filter("c = 1")
-    alone = single.groupBy("node").agg(F.count(F.lit(1)).alias("alone"), F.sum("p").alias("share"))
-    return sets.mapInArrow(size, "node long, n long, flat boolean").join(alone, "node", "left").fillna(0, ["alone"]).fillna(0.0, ["share"])
-
-
-def _possible(threshold: float):
-    """Whether two nodes (columns a..., b...) can be similar, given what no other node shares.
-
-    At most n - alone shingles can be common, which bounds the Jaccard similarity; the probability
-    Jaccard is at most the weight that can be common. Exact bounds, so no link is lost.
-    """
-    common = F.least(F.col("an") - F.col("aalone"), F.col("bn") - F.col("balone"))
-    plain = common * (1 + threshold) >= threshold * (F.col("an") + F.col("bn")) - 1e-6
-    weighted = F.least(1 - F.col("ashare"), 1 - F.col("bshare")) >= threshold - 1e-6
-    return plain | (~(F.col("aflat") & F.col("bflat")) & weighted)
-
-
 def _parts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(blob) // 12
     return np.frombuffer(blob[: 8 * n], np.uint64), np.frombuffer(blob[8 * n :], np.int32)
@@ -232,6 +201,95 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, t
     return checkpoint(both.mapInArrow(compare, "u long, v long, similar boolean"))
 
 
+class _Forest:
+    """Components of a block, joined as links are found."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = self.above.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.above[self.root(x)] = self.root(y)
+
+
+def _block_links(block: pa.Table, threshold: float) -> pa.Table:
+    """Links (u, v) of one block: its outer nodes against its inner ones.
+
+    A pair is looked at in the first bucket that its nodes share, so in one block only. Overlaps
+    are counted for all candidates of an outer node at once. Components that a link has joined
+    within the block are not compared again.
+    """
+    outer = np.asarray(block["outer"])
+    node, part, main = (np.asarray(block[c]) for c in ("node", "part", "main"))
+    bits = np.stack([np.asarray(block["b1"]), np.asarray(block["b2"])], axis=1).view(np.uint64)  # of a negative number the count would be that of its absolute value
+    keys = np.stack(block["bands"].to_pylist()).astype(np.int64)
+    here = keys == block["key"][0].as_py()
+    sets = [_parts(b) for b in block["set"].to_pylist()]
+    share = [w / w.sum() for w in (weight(c) for _, c in sets)]
+    flat = np.array([c.max() == 1 for _, c in sets])
+    inner = np.flatnonzero(~outer)
+    forest, found = _Forest(), []
+    for x in np.flatnonzero(outer):
+        near = np.bitwise_count(bits[inner] ^ bits[x]).sum(axis=1) <= MOST_BITS
+        once = (part[inner] == main[inner]) | (node[x] < node[inner])
+        common = keys[inner] == keys[x]
+        near &= once & (part[inner] != part[x]) & (common.argmax(axis=1) == here[x].argmax())
+        other = inner[near]
+        mine = forest.root(part[x])
+        other = other[[forest.root(p) != mine for p in part[other].tolist()]] if len(other) else other
+        if not len(other):
+            continue
+        key = np.concatenate([sets[y][0] for y in other])
+        size = np.array([len(sets[y][0]) for y in other])
+        start = np.cumsum(size) - size
+        own = sets[x][0]
+        at = np.minimum(np.searchsorted(own, key), len(own) - 1)
+        hit = own[at] == key
+        shared = np.add.reduceat(hit.astype(np.int64), start)
+        plain = shared / (size + len(own) - shared)
+        # The probability Jaccard is at most the sum of the smaller shares of the common shingles.
+        most = np.add.reduceat(np.where(hit, np.minimum(share[x][at], np.concatenate([share[y] for y in other])), 0.0), start)
+        sure = plain >= threshold - 1e-12
+        maybe = ~sure & ~(flat[x] & flat[other]) & (most >= threshold - 1e-9)
+        for i in np.concatenate([np.flatnonzero(sure), np.flatnonzero(maybe)]):
+            y = other[i]
+            if forest.root(part[x]) == forest.root(part[y]):
+                continue
+            if sure[i] or max(similarity(sets[x], sets[y])) >= threshold - 1e-12:
+                forest.join(part[x], part[y])
+                found.append((min(node[x], node[y]), max(node[x], node[y])))
+    u, v = zip(*found) if found else ((), ())
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _blocks(placed: DataFrame, sets: DataFrame, bands_of: DataFrame, threshold: float) -> DataFrame:
+    """Links between the components of each bucket of ``placed`` (key, node, part, main, b1, b2).
+
+    The nodes outside the bucket's main component (outer) meet all of its nodes (inner). Both are
+    dealt to chunks of about ``BLOCK_SHINGLES`` shingles, and every pair of chunks is one block, so a
+    bucket of any size takes bounded memory and many tasks; rows grow with the chunks, not the pairs.
+    """
+    full = placed.join(sets.withColumn("n", F.octet_length("set") / 12), "node")
+    load = full.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("part") != F.col("main"), F.col("n"))).alias("out"))
+    chunks = load.select("key", *[F.ceil(F.col(c) / BLOCK_SHINGLES).cast("int").alias(f"{c}_chunks") for c in ("all", "out")])
+    full = full.drop("n").join(bands_of, "node").join(chunks, "key")
+    rows = full.select(
+        "key", "node", "part", "main", "b1", "b2", "bands", "set",
+        F.explode(F.when(F.col("part") != F.col("main"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("outer"),
+        F.pmod(F.xxhash64("node"), F.when(F.col("part") != F.col("main"), F.col("out_chunks"))).alias("_o"),
+        F.pmod(F.xxhash64("node"), F.col("all_chunks")).alias("_i"), "all_chunks", "out_chunks",
+    )
+    dealt = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(F.col("outer"), F.col("all_chunks")).otherwise(F.col("out_chunks")) - 1)))
+    block = [F.when(F.col("outer"), F.col("_o")).otherwise(F.col("_other")).alias("outer_chunk"), F.when(F.col("outer"), F.col("_other")).otherwise(F.col("_i")).alias("inner_chunk")]
+    dealt = dealt.select("key", *block, "outer", "node", "part", "main", "b1", "b2", "bands", "set")
+    return dealt.groupBy("key", "outer_chunk", "inner_chunk").applyInArrow(lambda t: _block_links(t, threshold), "u long, v long")
+
+
 def _roots(parents: DataFrame) -> DataFrame:
     """(node, part): the root above each node of (node, part), where ``part`` is a smaller node.
 
@@ -302,15 +360,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             placed = checkpoint(placed.join(mixed, "key"))
             if placed.isEmpty():
                 continue
-            facts = _rareness(_sets(placed.select("node").distinct(), docs, reps, id_col, text_col))
-            placed = checkpoint(placed.join(facts, "node"))
-            facts_of = ("node", "part", "main", "b1", "b2", "n", "alone", "share", "flat")
-            a = placed.filter("part <> main").select("key", *[F.col(c).alias(f"a{c}") for c in facts_of])
-            b = placed.select("key", *[F.col(c).alias(f"b{c}") for c in facts_of])
-            once = (F.col("bpart") == F.col("bmain")) | (F.col("anode") < F.col("bnode"))
-            near = (_differ("a", "b") <= MOST_BITS) & _possible(threshold)
-            pairs = a.join(b, (a["key"] == b["key"]) & (F.col("apart") != F.col("bpart")) & once & near)
-            pairs = pairs.select(F.least("anode", "bnode").alias("u"), F.greatest("anode", "bnode").alias("v")).distinct()
+            sets = _sets(placed.select("node").distinct(), docs, reps, id_col, text_col)
+            links = checkpoint(_blocks(placed, sets, uniq.select("node", "bands"), threshold))
+            if not links.isEmpty():
+                part = _merged(part, links)
+            continue
         pairs = checkpoint(pairs.join(tested, ["u", "v"], "left_anti"))
         if pairs.isEmpty():
             continue
