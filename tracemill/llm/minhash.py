@@ -35,7 +35,9 @@ BANDS = 24
 BAND_ROWS = 6
 # Of 128 one-bit registers; at the threshold 12.8 differ on average, with a deviation of 3.4.
 MOST_BITS = 30
-MERGING_ROUNDS = 2
+MERGING_ROUNDS = 1
+# Bytes of texts whose shingles are held at once.
+TEXT_BYTES = 1 << 20
 # Distinct shingles in a chunk of a bucket, on average; 12 bytes each.
 BLOCK_SHINGLES = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -139,7 +141,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = X.utf8(batch.column(1))
-            for lo, hi in X.groups(offsets):
+            for lo, hi in X.groups(offsets, TEXT_BYTES):
                 node, row, key, count = shingles(data, offsets[lo : hi + 1])
                 sign = sketch(row, key, weight(count), hi - lo)
                 some = np.bincount(row, minlength=hi - lo) > 0
@@ -162,7 +164,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_
         for batch in batches:
             asked = batch.column(0).to_numpy()
             data, offsets = X.utf8(batch.column(1))
-            for lo, hi in X.groups(offsets):
+            for lo, hi in X.groups(offsets, TEXT_BYTES):
                 node, row, key, count = shingles(data, offsets[lo : hi + 1])
                 at = X.bounds(row, hi - lo)
                 count = count.astype(np.int32)
@@ -387,7 +389,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         at = columns.index(text_col)
         for batch in batches:
             data, offsets = X.utf8(batch.column(at))
-            for lo, hi in X.groups(offsets):
+            for lo, hi in X.groups(offsets, TEXT_BYTES):
                 node = shingles(data, offsets[lo : hi + 1])[0]
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(node)], [*columns, "_node"])
 
