@@ -21,6 +21,8 @@ from tracemill.llm import ship
 from tracemill.llm import text as X
 
 BITS = 21
+# Bytes of texts whose features are held at once; a byte takes up to 60 bytes of arrays.
+TEXT_BYTES = 1 << 20
 MAX_ROWS = 8_000  # labelled rows learned from; those with the smallest hash of their id
 SKIPS = (2, 3)  # distances of the words of a skip-gram
 STEMS = (4, 5, 6)  # first bytes of a word that count as a word of their own
@@ -96,7 +98,7 @@ def fit(labelled: DataFrame, label_col: str = "label", text_col: str = "text", s
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = X.utf8(batch.column(0))
-            for lo, hi in X.groups(offsets):
+            for lo, hi in X.groups(offsets, TEXT_BYTES):
                 row, feature = features(data, offsets[lo : hi + 1])
                 pairs = np.unique(row << BITS | feature)
                 at = X.bounds(pairs >> BITS, hi - lo)
@@ -150,7 +152,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         used = weight != 0
         for batch in batches:
             data, offsets = X.utf8(batch.column(1))
-            for lo, hi in X.groups(offsets):
+            for lo, hi in X.groups(offsets, TEXT_BYTES):
                 row, feature = features(data, offsets[lo : hi + 1])
                 hit = used[feature]
                 pairs = np.unique(row[hit] << BITS | feature[hit])
