@@ -4,6 +4,8 @@ import json
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -235,6 +237,21 @@ def test_entropy_windows_and_allow_list(spark):
     assert not out[2] and not out[3] and not out[4]
 
 
+def test_allow_list_takes_linear_time():
+    script = """
+import itertools, re
+from tracemill.llm.secret_scan import ALLOW
+before = re.compile(rb"[A-Za-z]?[a-z]+([_=/+-]+[A-Za-z]?[a-z]+)*[_=/+-]*")
+for n in range(1, 7):
+    for s in map(bytes, itertools.product(b"aBc-1_", repeat=n)):
+        assert bool(before.fullmatch(s)) == bool(re.compile(ALLOW[2]).fullmatch(s)), s
+for part in (b"word-", b"WORD-", b"Word_=", b"a/", b"12-", b"deadbeef-"):
+    for end in (b"", b"1", b"a1B"):
+        [re.compile(p).fullmatch(part * 10_000 + end) for p in ALLOW]
+"""
+    subprocess.run([sys.executable, "-c", script], check=True, timeout=60, cwd=Path(__file__).resolve().parents[2])
+
+
 # --- 5 pages
 
 

@@ -46,11 +46,12 @@ CLASSES = (
     EntropyClass("base64", re.compile(rb"[A-Za-z0-9+/_=-]+"), 24, 3.9),
 )
 LEAST = min(c.window for c in CLASSES)
-# What is known to be no secret: placeholders, identifiers with a fixed form, plain words.
+# What is known to be no secret: placeholders, identifiers with a fixed form, plain words. Each part of a
+# pattern reads a string in one way only, so a long one that fails at its end takes linear time.
 ALLOW = (
     rb"(?i).*(example|placeholder|changeme|redacted|sample|dummy|x{6,}).*",
     rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    rb"[A-Za-z]?[a-z]+([_=/+-]+[A-Za-z]?[a-z]+)*[_=/+-]*",
+    rb"[A-Z]?[a-z]++([_=/+-]++[A-Z]?[a-z]++)*+[_=/+-]*+",
     rb"[A-Z]+([_=/+-]+[A-Z]+)*[_=/+-]*",
     rb"[0-9_=/+-]+",
 )
