@@ -266,6 +266,17 @@ def test_page_text(spark, html, want):
     assert (got.text, got.n_chars) == (want, len(want))
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<html><head><title>t</title><meta charset=utf-8><link rel=x><body><article><h1>T</h1><p>One, two.</p></article></body></html>", "T One, two."),
+    ("<head><script>x</script>\n<style>y</style><p>One, two.<br>three", "One, two. three"),
+    ("<html><head><title>t</title>One, <b>two</b>", "One, two"),
+    ("<head><title>t</title><noscript><p>no</p></noscript><nav>menu</nav><main>One</main>", "One"),
+    ("<head><title>t</title></head><body><p>One", "One"),
+])
+def test_an_open_head_ends_at_the_first_content(html, want):
+    assert pages.extract(html) == want
+
+
 def test_pages_hold_their_article(spark):
     from html import unescape
 

@@ -21,6 +21,7 @@ from tracemill.llm import ship
 # Names of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
+HEAD = frozenset("base link meta title style script noscript template".split())
 DROP = frozenset("head nav footer aside form button select menu dialog object svg math canvas audio video map datalist option fieldset legend label".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -100,6 +101,8 @@ def parse(html: str) -> Node:
     while True:
         m = TOKEN.search(html, pos)
         text = html[pos : m.start() if m else len(html)]
+        if at.tag == "head" and text and not text.isspace():
+            close_to(at)
         if text and not dropped:
             at.children.append(unescape(text) if "&" in text else text)
         if not m:
@@ -118,6 +121,8 @@ def parse(html: str) -> Node:
                 close_to(x)
             continue
         attributes = m[3] or m[6] or ""
+        if at.tag == "head" and tag not in HEAD:
+            close_to(at)
         if tag in VOID:
             if not dropped and tag in BLOCK:
                 at.children.append(Node(tag, at))
