@@ -277,6 +277,23 @@ def test_an_open_head_ends_at_the_first_content(html, want):
     assert pages.extract(html) == want
 
 
+BODY = "Paragraphs that are long enough, with commas, make the text of an article."
+
+
+@pytest.mark.parametrize("html, want", [
+    (f'<body><div class="content has-sidebar"><h1>T</h1><p>{BODY}</p><p>{BODY}</p></div></body>', f"T {BODY} {BODY}"),
+    (f'<body><div class="post comments-open"><p>{BODY}</p><p>{BODY}</p></div><div class="ad">Buy this.</div></body>', f"{BODY} {BODY}"),
+    (f'<article><p>{BODY}</p><section id="related-work"><p>{BODY}</p></section><p class="notice">Note, {BODY}</p></article>', f"{BODY} {BODY} Note, {BODY}"),
+    (f'<main><div class="article-header"><h1>T</h1></div><div class="header"><h1>U</h1></div><p>{BODY}</p></main>', f"T U {BODY}"),
+    (f'<body><div class="widget"><p>{BODY}</p><p>{BODY}</p></div><p class="ad">Buy this.</p></body>', f"{BODY} {BODY}"),
+    (f'<body><div id="overlay"><article><p>{BODY}</p></article></div></body>', BODY),
+    (f'<article><p>{BODY}</p></article><div id="comments"><article><p>{BODY * 9}</p></article></div>', BODY),
+    (f'<article><p>{BODY}</p><pre>f()<span class="token comment"># why</span></pre><div class="ad">Buy this.</div></article>', f"{BODY} f()# why"),
+])
+def test_names_take_out_no_article(html, want):
+    assert pages.extract(html) == want
+
+
 def test_pages_hold_their_article(spark):
     from html import unescape
 

@@ -3,7 +3,7 @@
 Paragraphs pass points for their length and commas to their ancestors, less at each level; the share
 of a container's text that lies in links discounts its points. The best container, widened to the
 article that holds it, is kept with those siblings that score well or read as text. What is plainly
-no article (menus, forms, adverts and the like, by element, role or name) is taken out first.
+no article (menus, forms, adverts and the like, by element, role or whole name) is taken out first.
 """
 
 from __future__ import annotations
@@ -33,14 +33,19 @@ SCOPE_OF = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr
 PARAGRAPHS = frozenset("p pre td blockquote li dd figcaption div section article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-# Words in class or id names that mark what is no article.
+# Words in class or id names. A whole name of such words marks a container as no article, a part of
+# one lowers its score; other elements are marked by names of adverts alone.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion "
     "disqus footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification "
     "overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar "
     "signup social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising hidden promo promoted promotion sponsor sponsored".split())
+CONTAINERS = frozenset("a center details div dl ol section table ul".split())
 KEEP = frozenset("html body main article".split())
+PART, WHOLE = 1, 2
+LEAST_TEXT = 25  # characters of a paragraph that counts
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -53,28 +58,25 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "depth", "attributes", "score", "chars", "links")
+    __slots__ = ("tag", "parent", "children", "depth", "attributes", "mark", "score", "chars", "links")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.attributes = tag, parent, attributes
         self.children: list[Node | str] = []
         self.depth = parent.depth + 1 if parent else 0
-        self.score = 0.0
+        self.mark, self.score = 0, 0.0
         self.chars = self.links = 0
 
 
 def unwanted(tag: str, attributes: str, depth_in_article: bool) -> bool:
-    """Whether an element is no part of an article, by its name, role or class."""
+    """Whether an element is no part of an article, by its name or role, or is not shown."""
     if tag in DROP or (tag == "header" and not depth_in_article):
         return True
     if not attributes or tag in KEEP:
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id"):
-            if any(w in NAMES for w in re.split(r"[^a-z]+", value)):
-                return True
-        elif name == "role":
+        if name == "role":
             if value.strip() in ROLES:
                 return True
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -84,6 +86,71 @@ def unwanted(tag: str, attributes: str, depth_in_article: bool) -> bool:
     return False
 
 
+def marked(tag: str, attributes: str) -> int:
+    """``WHOLE`` if a class or id has only words of ``NAMES``, ``PART`` if one has such a word, else 0."""
+    if not attributes or tag in KEEP:
+        return 0
+    words, found = NAMES if tag in CONTAINERS else ADVERTS, 0
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for label in (a or b or c).lower().split():
+                hits = [w in words for w in re.split(r"[^a-z]+", label) if w]
+                if hits and all(hits):
+                    return WHOLE
+                if any(hits):
+                    found = PART
+    return found
+
+
+def _measure(nodes: list[Node]) -> None:
+    """Characters of each node's text, and of its links; children come before parents."""
+    for x in nodes:
+        own = sum(len(SPACE.sub(" ", c).strip()) for c in x.children if isinstance(c, str))
+        inner = [c for c in x.children if isinstance(c, Node)]
+        x.chars = own + sum(c.chars for c in inner)
+        x.links = x.chars if x.tag == "a" else sum(c.links for c in inner)
+
+
+def _prune(root: Node) -> None:
+    """Take out the elements of a ``WHOLE`` mark, but none that may be or hold the article.
+
+    That is one with an h1; and, if no article or main element with a text stands beside it, one with
+    such an element or with most of the page's text outside links. These lose their mark.
+    """
+    nodes = list(_walk(root))
+    if not any(x.mark for x in nodes):
+        return
+    _measure(nodes)
+    holds: dict[int, tuple[bool, bool]] = {}  # an h1, an article
+    for x in nodes:
+        inner = [holds[id(c)] for c in x.children if isinstance(c, Node)]
+        holds[id(x)] = (x.tag == "h1" and x.chars > 0) or any(h for h, _ in inner), x.tag in ("article", "main") or any(a for _, a in inner)
+    beside: set[int] = set()
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        if x.tag in ("article", "main") and x.chars > x.links:
+            beside.add(id(x))
+        stack.extend(c for c in x.children if isinstance(c, Node) and c.mark != WHOLE)
+    most = (root.chars - root.links) / 2
+    around = [(root, 0)]
+    while around:
+        x, within = around.pop()
+        within += id(x) in beside
+        kept: list[Node | str] = []
+        for c in x.children:
+            if isinstance(c, Node):
+                if c.mark:
+                    h1, article = holds[id(c)]
+                    if h1 or (len(beside) == within or c.mark == PART) and (article or c.chars - c.links > most):
+                        c.mark = 0
+                    elif c.mark == WHOLE:
+                        continue
+                around.append((c, within))
+            kept.append(c)
+        x.children = kept
+
+
 def parse(html: str) -> Node:
     """The element tree, without what is no article. Open tags are closed where HTML implies it."""
     root = Node("#root", None)
@@ -106,6 +173,7 @@ def parse(html: str) -> Node:
         if text and not dropped:
             at.children.append(unescape(text) if "&" in text else text)
         if not m:
+            _prune(root)
             return root
         pos = m.end()
         tag = (m[2] or m[5] or "").lower()
@@ -150,6 +218,7 @@ def parse(html: str) -> Node:
             child.attributes = DROPPED
             dropped += 1
         elif not dropped:
+            child.mark = marked(tag, attributes)
             at.children.append(child)
         article += tag in ("article", "main")
         at = child
@@ -195,11 +264,7 @@ def points(text: str) -> float:
 def score(root: Node) -> Node | None:
     """Score every container; the best, or None if there is no paragraph of some length."""
     nodes = list(_walk(root))
-    for x in nodes:
-        own = sum(len(SPACE.sub(" ", c).strip()) for c in x.children if isinstance(c, str))
-        inner = [c for c in x.children if isinstance(c, Node)]
-        x.chars = own + sum(c.chars for c in inner)
-        x.links = x.chars if x.tag == "a" else sum(c.links for c in inner)
+    _measure(nodes)
     candidates: dict[int, Node] = {}
     for x in nodes:
         if x.tag not in PARAGRAPHS or x.parent is None:
@@ -208,7 +273,7 @@ def score(root: Node) -> Node | None:
             text = " ".join(c.strip() for c in x.children if isinstance(c, str))
         else:
             text = _text(x)
-        if len(text) < 25:
+        if len(text) < LEAST_TEXT:
             continue
         gain, up, level = points(text), x if x.tag in ("div", "section", "article", "main", "td") else x.parent, 1
         while up is not None and level <= 4:
@@ -217,7 +282,7 @@ def score(root: Node) -> Node | None:
             up, level = up.parent, level + 1
     best = None
     for x in candidates.values():
-        x.score *= 1 - x.links / x.chars if x.chars else 0
+        x.score *= (1 - x.links / x.chars if x.chars else 0) * (0.5 if x.mark else 1)
         if x.tag != "#root" and (best is None or x.score > best.score or (x.score == best.score and x.depth < best.depth)):
             best = x
     return best
