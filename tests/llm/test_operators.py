@@ -294,6 +294,22 @@ def test_names_take_out_no_article(html, want):
     assert pages.extract(html) == want
 
 
+LINKS = '<ul><li><a href="/a">Home</a><li><a href="/b">About us</a></ul>'
+
+
+@pytest.mark.parametrize("html, want", [
+    (f"<div class=post><p>Short intro.</p>Loose <b>text</b>, <a>a link</a> in it<div class=text><p>{BODY}<p>{BODY}</div><p>The end.</p></div>", f"Short intro. Loose text, a link in it {BODY} {BODY} The end."),
+    (f"<body><div>{LINKS}<div>Intro.</div><div><p>{BODY}<p>{BODY}</div><pre>f()</pre><ul><li>x</ul><section>End.</section></div><div>Imprint</div></body>", f"Intro. {BODY} {BODY} f() x End."),
+    (f"<body><div id=a><p>In.</p><div id=b><p>Mid.</p><div id=c><p>{BODY}<p>{BODY}</div></div>Out.</div></body>", f"In. Mid. {BODY} {BODY} Out."),
+    (f"<body>{LINKS}<p>First.</p><div><p>{BODY}<p>{BODY}</div><div>Few words</div><p>Last.</p><div>Imprint</div></body>", f"First. {BODY} {BODY} Few words Last."),
+    (f"<body><a>Home</a> | <a>About</a><div><p>{BODY}<p>{BODY}</div></body>", f"{BODY} {BODY}"),
+    ("<body>x<article><p>One.</p></article><article><p>Two, too.</p></article><main>Three</main></body>", "One. Two, too. Three"),
+    (f"<body><article><p>{BODY * 9}</p></article><article><p>Two.</p></article></body>", f"{BODY * 9} Two."),
+])
+def test_text_beside_the_best_container_is_kept(html, want):
+    assert pages.extract(html) == want
+
+
 def test_pages_hold_their_article(spark):
     from html import unescape
 

@@ -45,6 +45,8 @@ ADVERTS = frozenset("ad ads advert adverts advertisement advertising hidden prom
 CONTAINERS = frozenset("a center details div dl ol section table ul".split())
 KEEP = frozenset("html body main article".split())
 PART, WHOLE = 1, 2
+PAGE = ("#root", "html", "body")
+LINKED = 0.3  # share of links from which a sibling is no text
 LEAST_TEXT = 25  # characters of a paragraph that counts
 
 TOKEN = re.compile(
@@ -288,35 +290,93 @@ def score(root: Node) -> Node | None:
     return best
 
 
+def _outermost(root: Node) -> list[Node]:
+    """Article and main elements that lie in no other one, in order."""
+    found, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if x.tag in ("article", "main"):
+            found.append(x)
+        else:
+            stack.extend(c for c in reversed(x.children) if isinstance(c, Node))
+    return found
+
+
+def _around(centre: Node, least: float, wrapped: bool) -> tuple[list[str], list[str]]:
+    """Texts of the siblings before and after ``centre`` that read as text: their links are few.
+
+    Bare text with the inline elements beside it counts as a paragraph. A plain container needs a
+    score, a place between siblings that are kept, or a parent that wraps the article (``wrapped``).
+    """
+    items: list[tuple[str, bool]] = []  # text, and whether it is kept wherever it stands
+    run: list[Node | str] = []
+
+    def close() -> None:
+        links = sum(c.links for c in run if isinstance(c, Node))
+        chars = sum(c.chars if isinstance(c, Node) else len(SPACE.sub(" ", c).strip()) for c in run)
+        if chars and links / chars < LINKED:
+            whole = Node("span", None)
+            whole.children = run.copy()
+            items.append((_text(whole), True))
+        run.clear()
+
+    place = 0
+    for c in centre.parent.children:  # type: ignore[union-attr]
+        if c is centre:
+            close()
+            place = len(items)
+            items.append(("", True))
+        elif isinstance(c, str) or c.tag not in BLOCK or c.tag == "br":
+            run.append(c)
+        else:
+            close()
+            if c.chars and c.links / c.chars < LINKED:
+                items.append((_text(c), c.tag not in CONTAINERS or c.tag in ("dl", "ol", "table", "ul") or c.score >= least or (wrapped and not c.mark)))
+    close()
+    sure = [i for i, (_, s) in enumerate(items) if s]
+    kept = [t for t, _ in items[sure[0] : sure[-1] + 1]]
+    return kept[: place - sure[0]], kept[place - sure[0] + 1 :]
+
+
 def extract(html: str) -> str:
     """The main text of a page; empty if it has none."""
     root = parse(html)
     best = score(root)
-    if best is None:  # only short texts: the article, else the whole body
-        marked = [x for x in _walk(root) if x.tag in ("article", "main")]
-        return _text(max(marked, key=lambda x: x.chars)) if marked else _text(root)
+    if best is None:  # only short texts: the articles, else the whole body
+        articles = _outermost(root)
+        return " ".join(t for t in map(_text, articles) if t) if articles else _text(root)
     x = best  # the outermost article or main element around the best container is the article
     while x.parent is not None:
         x = x.parent
         if x.tag in ("article", "main"):
             best = x
-    while best.parent is not None and best.parent.tag not in ("#root", "html", "body") and best.tag not in ("article", "main"):
+    while best.parent is not None and best.parent.tag not in PAGE and best.tag not in ("article", "main"):
         scored = [c for c in best.parent.children if isinstance(c, Node) and c.score > 0]
         if len(scored) < 2 and best.parent.chars > best.chars:
             break
         best = best.parent
     if best.parent is None or best.tag == "main":
         return _text(best)
-    kept: list[str] = []
     least = max(4.0, 0.2 * best.score)
-    for c in best.parent.children:
-        if c is best:
-            kept.append(_text(c))
-        elif isinstance(c, Node) and c.chars:
-            linked = c.links / c.chars
-            if linked < 0.3 and (c.tag in HEADINGS or c.score >= least or (c.tag in ("p", "pre", "blockquote", "ul", "ol", "table") and c.chars >= 25)):
+    if best.tag == "article":
+        kept: list[str] = []
+        for c in best.parent.children:
+            if c is best:
                 kept.append(_text(c))
-    return " ".join(t for t in kept if t)
+            elif isinstance(c, Node) and c.chars:
+                long = c.tag in ("p", "pre", "blockquote", "ul", "ol", "table") and c.chars >= LEAST_TEXT
+                if c.links / c.chars < LINKED and (c.tag in HEADINGS or c.tag == "article" or c.score >= least or long):
+                    kept.append(_text(c))
+        return " ".join(t for t in kept if t)
+    before, after = [], []
+    centre = best
+    while centre.parent is not None:
+        first, last = _around(centre, least, centre is best and centre.parent.tag not in PAGE)
+        before, after = first + before, after + last
+        centre = centre.parent
+        if centre.tag in PAGE:
+            break
+    return " ".join(t for t in [*before, _text(best), *after] if t)
 
 
 def extract_text(table: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
