@@ -188,6 +188,24 @@ def test_packing_is_a_round_trip(awkward, docs):
     assert sum(r.length for r in out) / (len(sequences) * packing.CAPACITY) > 0.97
 
 
+def test_long_runs_of_white_space_are_encoded(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing._encoder(path)
+    rng = random.Random(6)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\u3000", "\x1c", "\x85", "a", "don't", "12", "é,", "<|endoftext|>"]
+    for n in range(600):
+        t = "".join(rng.choices(parts, k=rng.randint(1, 30)))
+        assert packing.token_ids(encoder, t, 2 + n % 3).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    n = 2_000_000
+    texts = ["a" + " " * n + "b", "a" + "\n" * n, " \n" * (n // 2) + "<|endoftext|> b"]
+    for t in texts:
+        assert packing.token_ids(encoder, t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    out = packing.pack_documents(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), path)
+    assert out.agg(F.sum("length")).first()[0] == len(tokenizer.encode(texts[0], add_special_tokens=False).ids) + 1
+
+
 def test_differencing_keeps_items_and_capacity():
     rng = random.Random(3)
     for _ in range(30):

@@ -12,6 +12,7 @@ Groups are made where the rows are, so nothing is shuffled and a task holds one
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,10 @@ CAPACITY = 1024
 GROUP_WINDOWS = 192
 PARTS = 3  # pieces that a remainder is cut into, if long enough
 LEAST_PART = 32
+# A run of white space of this length is cut out of its text: the encoder's pattern matcher stops at a million.
+BLANK_RUN = 1 << 16
+# The white space of that pattern; that of Python's also has U+001C to U+001F.
+BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -159,6 +164,31 @@ def _encoder(path: str):
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
+def token_ids(encoder, text: str, run: int = BLANK_RUN) -> np.ndarray:
+    """The ids of a whole text, special strings included.
+
+    A run of white space is one piece up to its last character, which goes with what follows it; a run
+    at the end, or before a special string, is one piece as a whole. So runs of at least ``run``
+    characters are pieces of their own here, and no pattern has to match them.
+    """
+    if len(text) < run or not re.search(f"{BLANK}{{{run}}}", text):
+        return encoder.encode_to_numpy(text, allowed_special="all")
+    special = sorted(encoder.special_tokens_set, key=len, reverse=True)
+    found = [np.zeros(0, np.uint32)]
+    for i, part in enumerate(re.split(f"({'|'.join(map(re.escape, special))})", text) if special else [text]):
+        if i % 2:
+            found.append(np.array([encoder.encode_single_token(part)], np.uint32))
+            continue
+        at = 0
+        for m in re.finditer(f"{BLANK}{{{run},}}", part):
+            end = m.end() if m.end() == len(part) else m.end() - 1
+            found.append(encoder.encode_to_numpy(part[at : m.start()]))
+            found.append(np.array(encoder._encode_single_piece(part[m.start() : end]), np.uint32))
+            at = end
+        found.append(encoder.encode_to_numpy(part[at:]))
+    return np.concatenate(found)
+
+
 def pack_documents(
     docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -190,7 +220,7 @@ def pack_documents(
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 for doc, text in zip(part.column(0).to_pylist(), pc.fill_null(part.column(1), "").to_pylist()):
-                    ids = encoder.encode_to_numpy(text, allowed_special="all")
+                    ids = token_ids(encoder, text)
                     packer.add(doc, np.append(ids, np.uint32(end_id)))
                     if packer.ready:
                         yield rows()
