@@ -515,6 +515,24 @@ def test_classes_equal_brute_force(spark, rows, monkeypatch, merging, chunk):
     assert sorted(r.doc_id for r in kept) == sorted(set(got.values()))
 
 
+@pytest.mark.parametrize("merging", [minhash.MERGING_ROUNDS, 0])
+def test_repeated_passages_do_not_hide_a_plain_link(spark, monkeypatch, merging):
+    """The same shingles, up to four, in very different numbers."""
+    monkeypatch.setattr(minhash, "MERGING_ROUNDS", merging)
+    rng = random.Random(9)
+    texts = []
+    for n in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        often = (50, 100, 60, 20)[n % 4]
+        texts += [" ".join(words), " ".join(words + words[204 - often :] * (20, 400, 200, 300)[n % 4])]
+    sets = sets_of(texts)
+    assert all(len(a & b) >= 0.9 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+    assert sorted(r.doc_id for r in minhash.deduplicate(df).select("doc_id").collect()) == list(range(0, len(texts), 2))
+
+
 # --- pipeline
 
 

@@ -5,6 +5,11 @@ weight, to random registers; a register keeps the shingle that arrived first. A
 shingle can arrive before the latest register any more. Two texts agree in a register with the chance
 of their probability Jaccard similarity.
 
+A link may also be plain, without weights, and two texts with the same shingles in other numbers need
+not agree in a weighted register. So a text with a repeated shingle has a second set of registers, of
+its shingles with a weight of one each; for other texts both sets are the same. Bands of both sets are
+alike, and a pair passes the one-bit screen by either.
+
 Texts with the same words are one node. Nodes that share a band of registers are candidates; a link
 needs the exact similarity of their shingles. Each node is first compared with one node of its
 buckets, the bucket leader that it shares most bands with. Then components are compared: in each
@@ -35,12 +40,15 @@ BANDS = 24
 BAND_ROWS = 6
 # Of 128 one-bit registers; at the threshold 12.8 differ on average, with a deviation of 3.4.
 MOST_BITS = 30
+# Two numbers of weighted registers and two of plain ones.
+BITS = ("b1", "b2", "p1", "p2")
 MERGING_ROUNDS = 1
 # Bytes of texts whose shingles are held at once.
 TEXT_BYTES = 1 << 20
 # Distinct shingles in a chunk of a bucket, on average; 12 bytes each.
 BLOCK_SHINGLES = 1_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_LAST = np.iinfo(np.int64).max
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +144,7 @@ def _similar(a: bytes, b: bytes, threshold: float) -> bool:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, bands, b1, b2) of every row."""
+    """(id, node, bands, ``BITS``) of every row; plain bands follow the weighted ones where they differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,16 +153,24 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 node, row, key, count = shingles(data, offsets[lo : hi + 1])
                 sign = sketch(row, key, weight(count), hi - lo)
                 some = np.bincount(row, minlength=hi - lo) > 0
-                keys, bits = bands(sign), one_bits(sign)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(keys[some].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(node), lists, pa.array(bits[:, 0]), pa.array(bits[:, 1])], [id_col, "node", "bands", "b1", "b2"])
+                again = np.zeros(hi - lo, dtype=bool)
+                again[row[count > 1]] = True
+                plain, own = sign.copy(), again[row]
+                plain[again] = sketch((np.cumsum(again) - 1)[row[own]], key[own], np.ones(own.sum()), int(again.sum()))
+                keys = np.concatenate([bands(sign), bands(plain)], axis=1)
+                held = np.repeat(np.stack([some, again], axis=1), BANDS, axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held.sum(axis=1))]).astype(np.int32)), pa.array(keys[held]))
+                bits = np.concatenate([one_bits(sign), one_bits(plain)], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(node), lists, *(pa.array(bits[:, i]) for i in range(len(BITS)))], [id_col, "node", "bands", *BITS])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, node long, bands array<long>, b1 long, b2 long")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, node long, bands array<long>, {', '.join(f'{b} long' for b in BITS)}")
 
 
-def _differ(a: str, b: str):
-    return F.bit_count(F.col(f"{a}b1").bitwiseXOR(F.col(f"{b}b1"))) + F.bit_count(F.col(f"{a}b2").bitwiseXOR(F.col(f"{b}b2")))
+def _near(a: str, b: str):
+    """Whether few one-bit registers differ, weighted or plain."""
+    apart = [F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in BITS]
+    return (apart[0] + apart[1] <= MOST_BITS) | (apart[2] + apart[3] <= MOST_BITS)
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -222,26 +238,28 @@ class _Forest:
 def _block_links(block: pa.Table, threshold: float) -> pa.Table:
     """Links (u, v) of one block: its outer nodes against its inner ones.
 
-    A pair is looked at in the first bucket that its nodes share, so in one block only. Overlaps
+    A pair is looked at in the bucket of the least key that its nodes share, so in one block only. Overlaps
     are counted for all candidates of an outer node at once. Components that a link has joined
     within the block are not compared again.
     """
     outer = np.asarray(block["outer"])
     node, part, main = (np.asarray(block[c]) for c in ("node", "part", "main"))
-    bits = np.stack([np.asarray(block["b1"]), np.asarray(block["b2"])], axis=1).view(np.uint64)  # of a negative number the count would be that of its absolute value
-    keys = np.stack(block["bands"].to_pylist()).astype(np.int64)
-    here = keys == block["key"][0].as_py()
+    bits = np.stack([np.asarray(block[c]) for c in BITS], axis=1).view(np.uint64)  # of a negative number the count would be that of its absolute value
+    # A column of weighted and one of plain keys for each band.
+    keys = np.stack([np.resize(b, 2 * BANDS) for b in block["bands"].to_pylist()]).astype(np.int64).reshape(-1, 2, BANDS)
+    here = block["key"][0].as_py()
     sets = [_parts(b) for b in block["set"].to_pylist()]
     share = [w / w.sum() for w in (weight(c) for _, c in sets)]
     flat = np.array([c.max() == 1 for _, c in sets])
     inner = np.flatnonzero(~outer)
     forest, found = _Forest(), []
     for x in np.flatnonzero(outer):
-        near = np.bitwise_count(bits[inner] ^ bits[x]).sum(axis=1) <= MOST_BITS
+        apart = np.bitwise_count(bits[inner] ^ bits[x]).reshape(-1, 2, 2).sum(axis=2).min(axis=1)
         once = (part[inner] == main[inner]) | (node[x] < node[inner])
-        common = keys[inner] == keys[x]
-        near &= once & (part[inner] != part[x]) & (common.argmax(axis=1) == here[x].argmax())
-        other = inner[near]
+        other = inner[(apart <= MOST_BITS) & once & (part[inner] != part[x])]
+        theirs = keys[other]
+        common = (theirs == keys[x]) | (theirs == keys[x][::-1])
+        other = other[np.where(common, theirs, _LAST).min(axis=(1, 2)) == here]
         mine = forest.root(part[x])
         other = other[[forest.root(p) != mine for p in part[other].tolist()]] if len(other) else other
         if not len(other):
@@ -270,7 +288,9 @@ def _block_links(block: pa.Table, threshold: float) -> pa.Table:
 
 
 def _blocks(placed: DataFrame, sets: DataFrame, bands_of: DataFrame, threshold: float) -> DataFrame:
-    """Links between the components of each bucket of ``placed`` (key, node, part, main, b1, b2).
+    """Links between the components of each bucket of ``placed`` (key, node, part, main).
+
+    ``bands_of`` has the bands and bits of each node.
 
     The nodes outside the bucket's main component (outer) meet all of its nodes (inner). Both are
     dealt to chunks of about ``BLOCK_SHINGLES`` shingles, and every pair of chunks is one block, so a
@@ -281,14 +301,14 @@ def _blocks(placed: DataFrame, sets: DataFrame, bands_of: DataFrame, threshold:
     chunks = load.select("key", *[F.ceil(F.col(c) / BLOCK_SHINGLES).cast("int").alias(f"{c}_chunks") for c in ("all", "out")])
     full = full.drop("n").join(bands_of, "node").join(chunks, "key")
     rows = full.select(
-        "key", "node", "part", "main", "b1", "b2", "bands", "set",
+        "key", "node", "part", "main", *BITS, "bands", "set",
         F.explode(F.when(F.col("part") != F.col("main"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("outer"),
         F.pmod(F.xxhash64("node"), F.when(F.col("part") != F.col("main"), F.col("out_chunks"))).alias("_o"),
         F.pmod(F.xxhash64("node"), F.col("all_chunks")).alias("_i"), "all_chunks", "out_chunks",
     )
     dealt = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(F.col("outer"), F.col("all_chunks")).otherwise(F.col("out_chunks")) - 1)))
     block = [F.when(F.col("outer"), F.col("_o")).otherwise(F.col("_other")).alias("outer_chunk"), F.when(F.col("outer"), F.col("_other")).otherwise(F.col("_i")).alias("inner_chunk")]
-    dealt = dealt.select("key", *block, "outer", "node", "part", "main", "b1", "b2", "bands", "set")
+    dealt = dealt.select("key", *block, "outer", "node", "part", "main", *BITS, "bands", "set")
     return dealt.groupBy("key", "outer_chunk", "inner_chunk").applyInArrow(lambda t: _block_links(t, threshold), "u long, v long")
 
 
@@ -331,17 +351,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     drawn = stored(sketches(docs, id_col, text_col), "sketches")
     reps = drawn.groupBy("node").agg(F.min(id_col).alias("rep"))
-    uniq = checkpoint(drawn.groupBy("node").agg(F.first("bands").alias("bands"), F.first("b1").alias("b1"), F.first("b2").alias("b2")))
-    rows = uniq.select("node", "b1", "b2", F.explode("bands").alias("key"))
+    uniq = checkpoint(drawn.groupBy("node").agg(*(F.first(c).alias(c) for c in ("bands", *BITS))))
+    rows = uniq.select("node", F.explode(F.array_distinct("bands")).alias("key"))
     buckets = rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("key", "lead")
     members = checkpoint(rows.join(buckets, "key"))
-    bits = uniq.select("node", "b1", "b2")
+    bits = uniq.select("node", *BITS)
 
     def screened(pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) whose registers may belong to a link."""
-        u = bits.select(F.col("node").alias("u"), F.col("b1").alias("ub1"), F.col("b2").alias("ub2"))
-        v = bits.select(F.col("node").alias("v"), F.col("b1").alias("vb1"), F.col("b2").alias("vb2"))
-        return pairs.join(v, "v").join(u, "u").filter(_differ("u", "v") <= MOST_BITS).select("u", "v")
+        u = bits.select(F.col("node").alias("u"), *(F.col(c).alias(f"u{c}") for c in BITS))
+        v = bits.select(F.col("node").alias("v"), *(F.col(c).alias(f"v{c}") for c in BITS))
+        return pairs.join(v, "v").join(u, "u").filter(_near("u", "v")).select("u", "v")
 
     shared = members.filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
     leader = shared.groupBy("node").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
@@ -351,7 +371,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = checkpoint(uniq.select("node").join(roots, "node", "left").select("node", F.coalesce("part", "node").alias("part")))
     for turn in range(MERGING_ROUNDS + 1):
         # Buckets with several components; the largest of each is its main one.
-        placed = members.select("key", "node", "b1", "b2").join(part, "node")
+        placed = members.select("key", "node").join(part, "node")
         each = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64(F.lit(turn), F.col("node"))).alias("one"))
         mixed = each.groupBy("key").agg(F.max_by(F.struct("part", "one"), F.struct("n", "part")).alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
         mixed = mixed.select("key", F.col("m.part").alias("main"), F.col("m.one").alias("centre"))
@@ -363,7 +383,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if placed.isEmpty():
                 continue
             sets = _sets(placed.select("node").distinct(), docs, reps, id_col, text_col)
-            links = checkpoint(_blocks(placed, sets, uniq.select("node", "bands"), threshold))
+            links = checkpoint(_blocks(placed, sets, uniq.select("node", "bands", *BITS), threshold))
             if not links.isEmpty():
                 part = _merged(part, links)
             continue
