@@ -105,6 +105,16 @@ def test_brown_base_score_and_counts(docs, rows):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_frequent_words_are_counted_in_all_segments(spark):
+    """A word at the rate overall that is under it in most segments."""
+    texts = ["a " * 12 + "b " * 88] + ["a " * 9 + "b " * 91] * 3 + ["a " * 11 + "c " * 89]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    one = brown.frequent(brown.encode(df, "doc_id", "text", F.lit(False)), 0.1).tolist()
+    parts = [brown.encode(df.filter(F.col("doc_id") == i), "doc_id", "text", F.lit(False)) for i in range(5)]
+    many = brown.frequent(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4]), 0.1).tolist()
+    assert len(one) == 3 and many == one
+
+
 def test_exchange_move_is_the_best_one():
     rng = np.random.default_rng(0)
     n, k = 12, 4

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import ship, stored
 from tracemill.llm import text as X
-from tracemill.session import checkpoint
+from tracemill.session import broadcast_if_small, checkpoint
 
 SEGMENT = 8 << 20  # bytes of text
 RATE = 1e-4  # words at least as frequent are exchanged; at most 1 / RATE words
@@ -151,19 +151,29 @@ def encode(docs: DataFrame, id_col: str, text_col: str, held, segment: int = SEG
 def frequent(segments: DataFrame, rate: float) -> np.ndarray:
     """Keys of words that make up at least ``rate`` of the training words; at most 1 / rate of them.
 
-    Such a word reaches the rate in some segment, so only those are counted by key.
+    Such a word reaches the rate in some segment. Those that do are candidates, and they alone are
+    counted by key, over all segments.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             keys, n = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["trained"], np.int64)
             some = np.flatnonzero(n >= max(1, rate * n.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(n[some]), pa.array(np.full(len(some), 0))], ["key", "n", "total"])
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([int(n.sum())])], ["key", "n", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(np.full(len(some), 0))], ["key", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([int(n.sum())])], ["key", "total"])
 
-    light = checkpoint(segments.select("keys", "trained").mapInArrow(run, "key long, n long, total long"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            n = np.frombuffer(r["trained"], np.int64)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["keys"], np.int64)[some]), pa.array(n[some])], ["key", "n"])
+
+    trained = segments.select("keys", "trained")
+    light = checkpoint(trained.mapInArrow(run, "key long, total long"))
     total = light.agg(F.sum("total")).first()[0] or 0
-    rows = light.filter("n > 0").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= rate * total).orderBy(F.desc("n"), "key").collect()
+    candidates = broadcast_if_small(light.filter("key is not null").select("key").distinct())
+    counted = trained.mapInArrow(count, "key long, n long").join(candidates, "key", "left_semi")
+    rows = counted.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= rate * total).orderBy(F.desc("n"), "key").collect()
     return np.array([r.key for r in rows], dtype=np.int64).view(np.uint64)
 
 
