@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tracemill.llm import brown, counts, minhash, mixing, mod_crc, packing, pages, quality, query, secret_scan, table, toxicity, vptree
+from tracemill.llm import alignment, bpe, brown, counts, minhash, mixing, mod_crc, packing, pages, periodic, quality, query, secret_scan, table, toxicity, vptree
 
 
 @query("op2_toxicity")
@@ -93,3 +93,68 @@ def op1(spark, d):
 @query("op10_probminhash")
 def op10(spark, d):
     return minhash.near_duplicates(table(spark, d, "documents")).select("doc_id", "class_id")
+
+
+OP11 = """with recursive bits(b, c, i) as (
+  select range, range, 0 from range(256)
+  union all select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i + 1 from bits where i < 8),
+crc_table as (select b, c from bits where i = 8),
+docs as (select row_number() over () r, doc_id, coalesce(doc_id::varchar, '') s, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+crc(r, s, i, c) as (
+  select r, s, 1, 4294967295 from docs
+  union all select r, s, i + 1, xor(crc.c >> 8, t.c) from crc join crc_table t on t.b = xor(crc.c, ord(s[i])) & 255 where i <= length(s)),
+h as (select r, xor(c, 4294967295) h, xor(c, 4294967295) // 10 g from crc where i = length(s) + 1),
+plan as (select docs.r, doc_id, w, len(w) n, h % 10 = 0 and len(w) > 0 planted, case when len(w) > 0 then g % len(w) end a, g from docs join h using (r)),
+words as (select r, doc_id, n, case when planted
+  then list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) else w end w from plan),
+pos as (select r, n, unnest(w) x, unnest(range(n)) i from words),
+same as (select p.r, q.i - p.i as lag, p.i from pos p join pos q on p.r = q.r and p.x = q.x and q.i > p.i and 4 * (q.i - p.i) <= p.n),
+islands as (select r, lag, min(i) start, count(*) + lag as length
+  from (select *, i - row_number() over (partition by r, lag order by i) g from same) group by r, lag, g having count(*) + lag >= greatest(6, 4 * lag)),
+runs as (select r, start, length, min(lag) period from islands group by all),
+best as (select r, count(*) n_runs, arg_min({'start': start, 'length': length, 'period': period}, {'l': -length, 's': start, 'p': period}) b,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) lines from runs group by r),
+gone as (select distinct r, unnest(range(start + period, start + length)) i from runs),
+kept as (select r, string_agg(x, ' ' order by i) t from pos anti join gone using (r, i) group by r)
+select doc_id, coalesce(n_runs, 0)::bigint n_runs, b.start::bigint "start", b.length::bigint "length", b.period::bigint period,
+  (1000 * b.length // b.period)::bigint exponent_milli, sha256(coalesce(lines, '')) runs_sha256, sha256(coalesce(t, '')) collapsed_sha256
+from words left join best using (r) left join kept using (r)"""
+
+
+def planted(docs):
+    """Texts as the periodic-run query has them: a tenth of the ids repeat a part of their words to the end."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.when(F.col("_h") % 10 == 0, F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
+    cut = docs.select("doc_id", "text", h.alias("_h")).select("doc_id", "text", F.expr("_h div 10").alias("_g"), words.alias("_w"))
+    cut = cut.withColumn("_a", F.when(F.size("_w") > 0, F.col("_g") % F.size("_w")))
+    cut = cut.withColumn("_p", F.expr("1 + (size(_w) - _a) div (3 + _g % 8)"))
+    told = F.expr("array_join(transform(_w, (x, i) -> if(i < _a, x, _w[cast(_a + (i - _a) % _p as int)])), ' ')")
+    return cut.select("doc_id", F.when(F.col("_a").isNotNull(), told).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs", OP11)
+def op11(spark, d):
+    found = periodic.periodic_runs(planted(table(spark, d, "documents")))
+    lines = F.expr("array_join(transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\n')), '')")
+    longest = F.expr("array_min(transform(runs, x -> struct(-x.length as l, x.start as start, x.period as period)))")
+    return found.withColumn("_b", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("_b.start").alias("start"), (-F.col("_b.l")).alias("length"),
+        F.col("_b.period").alias("period"), F.expr("(-1000 * _b.l) div _b.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op12_rank_queue_bpe")
+def op12(spark, d):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode(table(spark, d, "documents"), path, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@query("op13_token_alignment")
+def op13(spark, d):
+    found = alignment.align(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
