@@ -34,9 +34,9 @@ from tracemill.llm import ship
 
 WORD_BITS = 8  # a word of the lower bitmap has 2**WORD_BITS bits
 MANY = 24  # places of a bucket from which on array operations merge it
-GROUP = 24 << 20  # bytes of texts whose pre-tokens are merged together, or one longer text
-CACHED = 1 << 19  # pre-tokens whose ids a Python worker keeps before it begins anew,
-CACHED_CHARS = 1 << 24  # and their characters
+GROUP = 8 << 20  # bytes of texts whose pre-tokens are merged together, or one longer text
+CACHED = 1 << 18  # pre-tokens whose ids a Python worker keeps before it begins anew,
+CACHED_CHARS = 1 << 23  # and their characters
 WHOLE = 1 << 20  # pre-tokens of longer texts are not held in one list
 
 
@@ -48,9 +48,6 @@ class Vocabulary:
             raise ValueError("the vocabulary lacks single bytes")
         self.ranks = ranks
         self.size = max(ranks.values()) + 1
-        self.token: list[bytes | None] = [None] * self.size
-        for piece, rank in ranks.items():
-            self.token[rank] = piece
         self.base = self.size + 1  # the id ``size`` stands between pre-tokens and makes nothing
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pairs: dict[int, int] = {}
@@ -110,11 +107,12 @@ class Vocabulary:
         mask, base, rank_of = (1 << WORD_BITS) - 1, self.base, self.pairs.get
         ids1, after1, before1, makes1 = map(memoryview, (ids, after, before, makes))
         doubt: list[np.ndarray] = []
-        first = np.flatnonzero(makes >= 0)
+        # The places of the beginning stay in one array, by rank; buckets hold those that come later.
+        first = np.flatnonzero(makes >= 0).astype(np.int32)
         first = first[np.argsort(makes[first], kind="stable")]
         ranks, start = np.unique(makes[first], return_index=True)
-        for r, places in zip(ranks.tolist(), np.split(first, start[1:])):
-            buckets[r] = places.tolist()
+        begun = dict(zip(ranks.tolist(), zip(start.tolist(), [*start[1:].tolist(), len(first)])))
+        for r in begun:
             words[r >> WORD_BITS] |= 1 << (r & mask)
             top |= 1 << (r >> WORD_BITS)
         while top:
@@ -126,8 +124,9 @@ class Vocabulary:
             words[high] = word ^ low
             if word == low:
                 top ^= 1 << high
-            if len(bucket) >= many:
-                i = np.unique(np.array(bucket, np.int32))
+            lo, hi = begun.pop(rank, (0, 0))
+            if len(bucket) + hi - lo >= many:
+                i = np.unique(np.concatenate([first[lo:hi], np.array(bucket, np.int32)])) if bucket else first[lo:hi]
                 i = i[makes[i] == rank]
                 j = after[i]
                 shared = np.concatenate([[False], i[1:] == j[:-1]])
@@ -152,6 +151,7 @@ class Vocabulary:
                             top |= 1 << (r >> WORD_BITS)
                         buckets[r].append(place)
                 continue
+            bucket += first[lo:hi].tolist()
             bucket.sort()
             while bucket:
                 i = heappop(bucket)
@@ -190,29 +190,33 @@ def _ranges(codes: list[int]) -> str:
     return "".join(f"\\U{codes[a]:08x}-\\U{codes[b]:08x}" for a, b in zip([0, *(e + 1 for e in ends)], ends))
 
 
-class Splitter:
-    """Matches of a pattern, with the character classes of the library that the ranks are written for.
+def odd_characters() -> dict[str, str]:
+    """Characters whose class differs between the pattern library here and the one the ranks are
+    written for, which may follow another edition of Unicode, and one of the right class for each."""
+    import regex
+    import tiktoken
 
-    The pattern library here may follow another edition of Unicode. Characters whose class differs are
-    replaced by one of the right class for the match alone.
-    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    plain = {bytes([b]): b for b in range(256)}
+    swap: dict[str, str] = {}
+    for name, member in ((r"\p{L}", "é"), (r"\p{N}", "٣"), (r"\s", " ")):
+        encoder = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=plain, special_tokens={})
+        theirs = set(encoder.encode_to_numpy(every).astype(np.uint8).tobytes().decode())
+        ours = set(regex.findall(name, every))
+        swap |= {c: swap.get(c, "☃") for c in ours - theirs} | {c: member for c in theirs - ours}
+    return swap
+
+
+class Splitter:
+    """Matches of a pattern; odd characters stand as others of the right class for the match alone."""
 
-    def __init__(self, pattern: str):
+    def __init__(self, pattern: str, odd: dict[str, str]):
         import re
 
         import regex
-        import tiktoken
-
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        plain = {bytes([b]): b for b in range(256)}
-        swap: dict[str, str] = {}
-        for name, member in ((r"\p{L}", "é"), (r"\p{N}", "٣"), (r"\s", " ")):
-            encoder = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=plain, special_tokens={})
-            theirs = set(encoder.encode_to_numpy(every).astype(np.uint8).tobytes().decode())
-            ours = set(regex.findall(name, every))
-            swap |= {c: swap.get(c, "☃") for c in ours - theirs} | {c: member for c in theirs - ours}
-        self._swap = str.maketrans(swap)
-        self._odd = re.compile(f"[{_ranges(sorted(map(ord, swap)))}]") if swap else None
+
+        self._swap = str.maketrans(odd)
+        self._odd = re.compile(f"[{_ranges(sorted(map(ord, odd)))}]") if odd else None
         self._pattern = regex.compile(pattern)
 
     def pieces(self, text: str) -> Iterable[str]:
@@ -234,8 +238,8 @@ class _Numbers(dict):
 class Encoder:
     """Ids of texts; the ids of pre-tokens met before are kept."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.splitter = vocabulary, Splitter(pattern)
+    def __init__(self, vocabulary: Vocabulary, pattern: str, odd: dict[str, str]):
+        self.vocabulary, self.splitter = vocabulary, Splitter(pattern, odd)
         self._forget()
 
     def _forget(self) -> None:
@@ -263,15 +267,20 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def load_vocabulary(path: str) -> Vocabulary:
+def load_ranks(path: str) -> dict[bytes, int]:
     """A file of lines "base64 of the token's bytes, its rank"."""
     with open(path, "rb") as f:
-        return Vocabulary({base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)})
+        return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(load_vocabulary(path), pattern)
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def load_encoder(path: str, pattern: str, odd: dict[str, str]) -> Encoder:
+    """One encoder per Python worker, file and pattern."""
+    if (path, pattern) not in _encoders:
+        _encoders[path, pattern] = Encoder(Vocabulary(load_ranks(path)), pattern, odd)
+    return _encoders[path, pattern]
 
 
 def _groups(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -292,9 +301,10 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     other columns are not read. ``vocabulary`` must exist on every executor.
     """
     ship(docs.sparkSession)
+    odd = odd_characters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary, pattern)
+        encoder = load_encoder(vocabulary, pattern, odd)
         for whole in batches:
             for batch in _groups(whole, 1):
                 ids = encoder.encode(pc.fill_null(batch.column(1), "").to_pylist())
@@ -314,7 +324,7 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataF
     ship(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = load_vocabulary(vocabulary).token
+        token = {rank: piece for piece, rank in load_ranks(vocabulary).items()}
         for whole in batches:
             for batch in _groups(whole, 2):
                 packed = pc.fill_null(batch.column(2), b"").to_pylist()
