@@ -13,7 +13,7 @@ tokenizer. So nothing larger than a segment or the facts of its pairs meets in a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -28,9 +28,8 @@ from pyspark.sql.window import Window
 from tracemill.llm import ship, stored
 from tracemill.llm.packing import _encoder, token_ids
 
-SEGMENT = 4 << 20  # bytes of the texts of a segment, or one longer text
+SEGMENT = 2 << 20  # bytes of the texts of a segment, or one longer text
 ROWS = 256
-PIECE_BITS = 32  # a pair of ids is one number: the first's id, then so many bits for the second's
 
 STATISTICS = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
@@ -40,7 +39,13 @@ class Side(NamedTuple):
 
     length: np.ndarray
     token: list[bytes]
-    encode: object
+    encode: Callable[[list[str]], list[np.ndarray]]
+    names: list[list[str]]
+
+
+def _names(size: int) -> list[list[str]]:
+    """Ids as decimals, each with the sign that may follow: within a side, between sides, between groups."""
+    return [[f"{i}{sign}" for i in range(size)] for sign in ",|;"]
 
 
 @lru_cache(maxsize=2)
@@ -48,16 +53,18 @@ def byte_level(path: str) -> Side:
     """A byte-level BPE file; a space goes before each text, special strings are plain text."""
     import tiktoken
 
-    named = _encoder(path)
-    plain = tiktoken.Encoding("plain", pat_str=named._pat_str, mergeable_ranks=named._mergeable_ranks, special_tokens={})
-    token = [b""] * (max(plain._mergeable_ranks.values()) + 1)
-    for piece, rank in plain._mergeable_ranks.items():
+    read = _encoder.__wrapped__(path)
+    ranks = read._mergeable_ranks
+    plain = tiktoken.Encoding("plain", pat_str=read._pat_str, mergeable_ranks=ranks, special_tokens={})
+    del read
+    token = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
         token[rank] = piece
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        return [token_ids(plain, " " + t).astype(np.uint32) for t in texts]
+        return [token_ids(plain, " " + t) for t in texts]
 
-    return Side(np.array([len(t) for t in token], np.int64), token, encode)
+    return Side(np.array([len(t) for t in token], np.int64), token, encode, _names(len(token)))
 
 
 @lru_cache(maxsize=2)
@@ -72,17 +79,17 @@ def sentence_piece(path: str) -> Side:
         token.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace("▁", " ").encode())
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(ids, np.uint32) for ids in model.encode(texts, num_threads=1, return_type="numpy")] if texts else []
+        return [np.asarray(ids) for ids in model.encode(texts, num_threads=1, return_type="numpy")] if texts else []
 
-    return Side(np.array([len(t) for t in token], np.int64), token, encode)
+    return Side(np.array([len(t) for t in token], np.int64), token, encode, _names(len(token)))
 
 
 def both(a: Side, b: Side, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """The ids of each text by both sides; none where a side's bytes are not the space and the text."""
-    out, none = [], np.zeros(0, np.uint32)
+    out, none = [], np.zeros(0, np.int64)
     for t, x, y in zip(texts, a.encode(texts), b.encode(texts)):
         want = b" " + t.encode()
-        same = t and all(b"".join(map(s.token.__getitem__, ids.tolist())) == want for s, ids in ((a, x), (b, y)))
+        same = t and all(s.length[ids].sum() == len(want) and b"".join(map(s.token.__getitem__, ids.tolist())) == want for s, ids in ((b, y), (a, x)))
         out.append((x, y) if same else (none, none))
     return out
 
@@ -99,63 +106,86 @@ class Links(NamedTuple):
 def coalesce(a_length: np.ndarray, b_length: np.ndarray) -> Links:
     """Groups and links of two rows of tokens that cover the same bytes."""
     a_end, b_end = np.cumsum(a_length), np.cumsum(b_length)
-    start = np.concatenate([a_end - a_length, b_end - b_length])
-    end = np.concatenate([a_end, b_end])
-    order = np.lexsort((end, start))
+    a_start, b_start = a_end - a_length, b_end - b_length
+    start, end = np.concatenate([a_start, b_start]), np.concatenate([a_end, b_end])
+    order = np.lexsort((start,))
     reach = np.maximum.accumulate(end[order])
     new = np.ones(len(order), dtype=bool)
-    new[1:] = start[order][1:] >= reach[:-1]
+    new[1:] = start[order[1:]] >= reach[:-1]
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(new) - 1
     # Overlaps: from the first token of b that ends behind the start, to the last that starts before the end.
-    lo = np.searchsorted(b_end, a_end - a_length, side="right")
-    hi = np.searchsorted(b_end - b_length, a_end, side="left")
-    n = hi - lo
+    lo = np.searchsorted(b_end, a_start, side="right")
+    n = np.searchsorted(b_start, a_end, side="left") - lo
     a = np.repeat(np.arange(len(n)), n)
     b = np.arange(len(a)) + np.repeat(lo - np.cumsum(n) + n, n)
     return Links(group[: len(a_end)], group[len(a_end) :], a, b)
 
 
-class Laid(NamedTuple):
-    """The ids of several documents behind each other, and where each document ends."""
+def pack_ids(ids: np.ndarray, side: Side) -> bytes:
+    """Little-endian unsigned ids of the fewest bytes that the vocabulary allows: 16 or 32 bits."""
+    return ids.astype(_width(side)).tobytes()
 
-    a: np.ndarray
-    b: np.ndarray
-    a_first: np.ndarray
-    b_first: np.ndarray
 
-    @classmethod
-    def of(cls, a: list[bytes], b: list[bytes]) -> Laid:
-        def first(column: list[bytes]) -> np.ndarray:
-            return np.concatenate([[0], np.cumsum([len(x) // 4 for x in column])]).astype(np.int64)
+def _width(side: Side) -> str:
+    return "<u2" if len(side.token) <= 1 << 16 else "<u4"
+
+
+class Laid:
+    """The ids of several documents behind each other, and where each document begins."""
+
+    def __init__(self, a: Side, b: Side, a_ids: list[bytes], b_ids: list[bytes]):
+        self.sides = a, b
+        self.a, self.a_first = self._lay(a, a_ids)
+        self.b, self.b_first = self._lay(b, b_ids)
+        self.links = coalesce(a.length[self.a], b.length[self.b])
+
+    @staticmethod
+    def _lay(side: Side, column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        width = _width(side)
+        first = np.cumsum([0, *(len(x) // np.dtype(width).itemsize for x in column)])
+        return np.frombuffer(b"".join(column), width).astype(np.int64), first
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair of ids, document, links): the distinct pairs of each document, by pair."""
+        links, n = self.links, len(self.a_first) - 1
+        owner = np.repeat(np.arange(n), np.diff(self.a_first))
+        pair = self.a[links.a] * len(self.sides[1].token) + self.b[links.b]
+        code = np.sort(pair * max(n, 1) + owner[links.a])
+        at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        each = code[at]
+        return each // max(n, 1), each % max(n, 1), np.diff(np.append(at, len(code)))
 
-        return cls(np.frombuffer(b"".join(a), "<u4").astype(np.int64), np.frombuffer(b"".join(b), "<u4").astype(np.int64), first(a), first(b))
+    def group_texts(self) -> list[str]:
+        """``a1,a2|b1;a3|b2,b3`` for each document: the ids of both sides, group by group."""
+        links, (a, b) = self.links, self.sides
+        ids, group = np.concatenate([self.a, self.b]), np.concatenate([links.a_group, links.b_group])
+        side = np.repeat([0, 1], [len(self.a), len(self.b)])
+        order = np.lexsort((2 * group + side,))
+        ids, group, side = ids[order], group[order], side[order]
+        last = np.append((group[1:] != group[:-1]) | (side[1:] != side[:-1]), True)[: len(ids)]
+        sign = np.where(last, 1 + side, 0)
+        names = [t for s in (a, b) for t in s.names]
+        size = [len(t) for t in names]
+        place = np.concatenate([[0], np.cumsum(size)])[3 * side + sign] + ids
+        table = _joined(a.names, b.names)
+        edge = (self.a_first + self.b_first).tolist()
+        return ["".join(map(table.__getitem__, place[p:q].tolist()))[:-1] for p, q in zip(edge, edge[1:])]
 
-    def links(self, a: Side, b: Side) -> Links:
-        return coalesce(a.length[self.a], b.length[self.b])
 
-    def pairs(self, links: Links) -> tuple[np.ndarray, np.ndarray]:
-        """(document, pair of ids) of each link."""
-        doc = np.searchsorted(self.a_first, links.a, side="right") - 1
-        return doc, self.a[links.a] << PIECE_BITS | self.b[links.b]
+_tables: dict[tuple[int, int], list[str]] = {}
 
 
-def group_text(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of both sides, group by group."""
-    if not len(ids_a):
-        return ""
-    cut_a, cut_b = np.flatnonzero(np.diff(group_a)) + 1, np.flatnonzero(np.diff(group_b)) + 1
-    x, y = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-    ends_a, ends_b = [*cut_a.tolist(), len(x)], [*cut_b.tolist(), len(y)]
-    out, i, j = [], 0, 0
-    for p, q in zip(ends_a, ends_b):
-        out.append((x[i] if p == i + 1 else ",".join(x[i:p])) + "|" + (y[j] if q == j + 1 else ",".join(y[j:q])))
-        i, j = p, q
-    return ";".join(out)
+def _joined(a: list[list[str]], b: list[list[str]]) -> list[str]:
+    key = id(a), id(b)
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = [t for names in (*a, *b) for t in names]
+    return _tables[key]
 
 
 def encode_both(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """(segment, id, a, b): the ids of both tokenizers as little-endian unsigned 32-bit numbers.
+    """(segment, id, a, b): the ids of both tokenizers, packed.
 
     A segment holds texts of one task of about ``segment`` bytes. Null and empty texts, and texts that
     a tokenizer does not keep byte by byte, have no tokens on either side.
@@ -174,7 +204,7 @@ def encode_both(docs: DataFrame, byte_path: str, piece_path: str, id_col: str =
                     filled += n
                     names.append(number)
                 ids = both(a, b, pc.fill_null(batch.column(1), "").to_pylist())
-                packed = [pa.array([x[side].astype("<u4").tobytes() for x in ids], pa.binary()) for side in (0, 1)]
+                packed = [pa.array([pack_ids(x[i], side) for x in ids], pa.binary()) for i, side in enumerate((a, b))]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0), *packed], ["segment", id_col, "a", "b"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -184,7 +214,7 @@ def encode_both(docs: DataFrame, byte_path: str, piece_path: str, id_col: str =
 def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """(id, ``STATISTICS``): how the tokens of two tokenizers lie over each whole text.
 
-    ``groups`` names the ids of both sides group by group (see ``group_text``); a link is a pair of
+    ``groups`` names the ids of both sides group by group (see ``group_texts``); a link is a pair of
     tokens that share a byte. The count of a pair of ids is the number of documents that hold it
     linked; ``n_best`` are the links whose count is the highest of their first id, ties included,
     ``count_sum`` is the sum of the counts over links. Texts that are null, empty, or not kept byte by
@@ -202,44 +232,36 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:
                     continue
-                laid = Laid.of(whole.column(1).slice(lo, hi - lo).to_pylist(), whole.column(2).slice(lo, hi - lo).to_pylist())
-                doc, pair = laid.pairs(laid.links(byte_level(byte_path), sentence_piece(piece_path)))
-                # One row per document and pair, then one per pair.
-                order = np.lexsort((doc, pair))
-                doc, pair = doc[order], pair[order]
-                new = np.ones(len(pair), dtype=bool)
-                new[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
-                held, n = np.unique(pair[new], return_counts=True)
+                laid = Laid(byte_level(byte_path), sentence_piece(piece_path), *(whole.column(c).slice(lo, hi - lo).to_pylist() for c in (1, 2)))
+                held, n = np.unique(laid.pairs()[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), names[lo])), pa.array(held), pa.array(n)], ["segment", "pair", "n"])
 
     # Each distinct pair of a segment once, or twice where a batch ends within the segment.
     asked = stored(encoded.select("segment", "a", "b").mapInArrow(count, "segment long, pair long, n long"), "aligned-pairs")
-    total = asked.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.shiftright("pair", PIECE_BITS))
+    pieces = len(sentence_piece(piece_path).token)
+    total = asked.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.expr(f"pair div {pieces}"))
     # A first id has at most as many rows as the second vocabulary has pieces.
     total = total.withColumn("best", F.col("n") == F.max("n").over(Window.partitionBy("a"))).select("pair", "n", "best")
     facts = asked.select("segment", "pair").join(total, "pair")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def measure(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
-        laid = Laid.of(rows["a"].to_pylist(), rows["b"].to_pylist())
-        links = laid.links(byte_level(byte_path), sentence_piece(piece_path))
-        doc, pair = laid.pairs(links)
-        known, n, best = told["pair"].to_numpy(), told["n"].to_numpy(), told["best"].to_numpy(zero_copy_only=False)
-        order = np.argsort(known)
-        at = order[np.searchsorted(known[order], pair)]
-        size = rows.num_rows
-        first_a, first_b = laid.a_first, laid.b_first
-        # Groups of a document: its last group's number less that of the one before it.
-        last = np.concatenate([[0], links.a_group + 1])[first_a]
-        sums = [np.bincount(doc, minlength=size), np.zeros(size, np.int64), np.zeros(size, np.int64)]
-        np.add.at(sums[1], doc, best[at].astype(np.int64))
-        np.add.at(sums[2], doc, n[at])
-        groups = [
-            group_text(laid.a[p:q], laid.b[r:s], links.a_group[p:q], links.b_group[r:s])
-            for p, q, r, s in zip(first_a[:-1].tolist(), first_a[1:].tolist(), first_b[:-1].tolist(), first_b[1:].tolist())
-        ]
-        columns = [np.diff(first_a), np.diff(first_b), np.diff(last), *sums]
+        laid = Laid(byte_level(byte_path), sentence_piece(piece_path), rows["a"].to_pylist(), rows["b"].to_pylist())
+        pair, doc, links = laid.pairs()
+        known = told["pair"].to_numpy()
+        # The facts are those of just these pairs, some twice; both sorted, they meet by rank.
+        known, first = np.unique(known, return_index=True)
+        at = np.cumsum(np.append(False, pair[1:] != pair[:-1])[: len(pair)])
+        n, best = told["n"].to_numpy()[first], told["best"].to_numpy(zero_copy_only=False)[first]
+        if not np.array_equal(known[at], pair):
+            raise ValueError("the facts of a segment are not those of its pairs")
+        sums = [np.zeros(rows.num_rows, np.int64) for _ in range(3)]
+        for total, value in zip(sums, (links, links * best[at], links * n[at])):
+            np.add.at(total, doc, value)
+        # Groups are numbered over the segment: a document has those up to its last less those before it.
+        groups = np.diff(np.append(0, laid.links.a_group + 1)[laid.a_first])
+        columns = [np.diff(laid.a_first), np.diff(laid.b_first), groups, *sums, laid.group_texts()]
         names = [c.split()[0] for c in STATISTICS.split(", ")]
-        return pa.table({id_col: rows[id_col], **{c: pa.array(v) for c, v in zip(names, [*columns, groups])}})
+        return pa.table({id_col: rows[id_col], **{c: pa.array(v) for c, v in zip(names, columns)}})
 
     return encoded.groupBy("segment").cogroup(facts.groupBy("segment")).applyInArrow(measure, f"`{id_col}` {kind}, {STATISTICS}")
