@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracemill.operators.columns import named
+from tracemill.sources.large import read_records
+from tracemill.sources.schema import collect_facts, paths, plain_names, record_type
 
 
 class NoRecords(ValueError):
@@ -18,8 +21,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
 
 
-def read_upload(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """A CSV file with header, a JSON array, or (``lines``) splittable JSON lines."""
+def read_upload(spark: SparkSession, path: str, lines: bool = False, split: bool = False) -> DataFrame:
+    """A CSV file with header, a JSON array, or (``lines``) splittable JSON lines.
+
+    With ``split`` many tasks read one JSON array.
+    """
+    if split and not path.lower().endswith(".csv"):
+        return records_table(read_records(spark, path).select("record"))
     if path.lower().endswith(".csv"):
         reader = spark.read.option("header", True).option("multiLine", not lines)
         return reader.option("escape", '"').csv(path)
@@ -61,28 +69,30 @@ def documents_without_records(documents: DataFrame, document: str = "document")
     return documents.filter(F.size(record_list(F.col(document))) == 0).drop(document)
 
 
-def records_table(records: DataFrame, schema: str | None = None) -> DataFrame:
+def records_table(records: DataFrame, schema: str | T.StructType | None = None) -> DataFrame:
     """S3: records as typed columns next to the carried ones.
 
     Without ``schema`` the union of all record fields is found by one distributed
-    aggregate; only the resulting type text reaches the driver.
+    aggregate (see ``schema``); only one row per field path reaches the driver.
     """
-    if schema is None:
-        schema = infer_record_schema(records)
-    return records.withColumn("_r", F.from_json("record", schema)).select(
-        *[c for c in records.columns if c != "record"], "_r.*"
-    )
+    told = infer_record_schema(records) if schema is None else schema
+    record = F.from_json("record", told)
+    if schema is None and plain_names(told) != told:
+        record = record.cast(plain_names(told))
+    return records.withColumn("_r", record).select(*[named(c) for c in records.columns if c != "record"], "_r.*")
 
 
-def infer_record_schema(records: DataFrame) -> str:
-    merged = records.agg(F.schema_of_variant_agg(F.try_parse_json("record")).alias("s")).first()["s"]
-    if merged is None or not merged.startswith("OBJECT<") or merged == "OBJECT<>":
+def infer_record_schema(records: DataFrame) -> T.StructType:
+    kind = record_type(collect_facts(paths(records)))
+    if not isinstance(kind, T.StructType):
         raise NoRecords("no list of records found in the given documents")
-    ddl = merged.replace("OBJECT<", "STRUCT<")
-    ddl = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", ddl)
-    return re.sub(r"\b(VOID|VARIANT)\b", "STRING", ddl)
+    return kind
+
 
+def load_table(spark: SparkSession, path: str, schema: str | None = None, split: bool = False) -> DataFrame:
+    """S1 + S2 + S3: the record list of JSON files as a table, with ``path`` and ``record_no``.
 
-def load_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """S1 + S2 + S3: the record list of JSON files as a table, with ``path`` and ``record_no``."""
-    return records_table(extract_records(read_documents(spark, path)), schema)
+    With ``split`` many tasks read one document (see ``large``), which must be valid JSON.
+    """
+    records = read_records(spark, path) if split else extract_records(read_documents(spark, path))
+    return records_table(records, schema)
