@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracemill.functions.times import text_time
+
 # Fixed values.
 PERCENT_PATTERN = r"^\s*(\d+(?:\.\d+)?)\s*%\s*$"
 LABEL_LIMIT = 40
@@ -101,11 +103,12 @@ def round_to(c: Column | str, places: int = 2) -> Column:
     return F.when(is_half, settled).otherwise(F.round(x, places))
 
 
-def as_timestamp(c: Column | str, dtype: T.DataType) -> Column:
-    """Timestamp or null. Plain numbers are nanoseconds since the epoch."""
+def as_timestamp(c: Column | str, dtype: T.DataType, day_first: bool = False) -> Column:
+    """Timestamp or null. Plain numbers are nanoseconds since the epoch; ``day_first`` is how
+    texts like 05/01/2024 read (see ``times``)."""
     col = _col(c)
     if isinstance(dtype, T.StringType):
-        return F.try_to_timestamp(col)
+        return text_time(col, day_first)
     if isinstance(dtype, T.NumericType):
         return F.timestamp_micros(F.floor(col / F.lit(1000)).cast("long"))
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):

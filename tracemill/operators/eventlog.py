@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.scalars import as_timestamp, safe_double
+from tracemill.functions.times import TimeForm, time_forms
 from tracemill.operators.columns import named, require
 
 
@@ -22,9 +23,13 @@ def event_log(
     end: str | None = None,
     tiebreak: Column | str | None = None,
     process: Column | str = "process",
+    forms: dict[str, TimeForm] | None = None,
 ) -> DataFrame:
     """P18 + P19 + F2: typed event log without rows that lack case, activity or time.
 
+    Where time columns are texts, one aggregate tells their order of day and month;
+    ``forms`` brings it from before.
+
     ``process`` is a column, or a literal name for a single-process table. ``tiebreak``
     orders events of one case that share a timestamp; without it the activity does.
     """
@@ -33,10 +38,12 @@ def event_log(
     process_col = F.lit(process) if isinstance(process, str) else process
     tie = F.lit(0) if tiebreak is None else (named(tiebreak) if isinstance(tiebreak, str) else tiebreak)
 
+    told = time_forms(df, [c for c in (timestamp, start, end) if c in types]) if forms is None else forms
+
     def moment(name: str | None) -> Column:
         if name is None or name not in types:
             return F.lit(None).cast("timestamp")
-        return as_timestamp(named(name), types[name])
+        return as_timestamp(named(name), types[name], name in told and told[name].day_first)
 
     rows = _present(df, [case_id, activity, timestamp]).select(
         process_col.cast("string").alias("process_id"),

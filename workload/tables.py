@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import scalars as s
+from tracemill.functions.times import time_forms
 from tracemill.operators.actions import GREETINGS, atomic_actions
 from tracemill.operators.normalize import normalize
 from tracemill.operators.resolve import resolve_time_context
@@ -55,6 +56,27 @@ def s3(spark, d):
     )
 
 
+AWKWARD = """select event_id, event_type "VARIANT", user_id "VOID", case when event_id % 3 = 0 then value end "a.b",
+  event_type "Name", event_id "name_2", cast(case when event_id % 2 = 0 then 10000000000000000000000 + event_id else event_id end as varchar) big_text
+from events"""
+
+
+@query("s3_awkward_names", AWKWARD)
+def s3_awkward(spark, d):
+    """Field names that are type words, hold a dot or differ in case only; whole numbers of 23 digits."""
+    big = F.when(F.col("event_id") % 2 == 0, F.lit("10000000000000000000000").cast("decimal(25,0)") + F.col("event_id")).otherwise(F.col("event_id"))
+    ev = table(spark, d, "events").withColumn("big", big.cast("decimal(25,0)"))
+    fields = F.array(
+        F.concat(F.lit('"VARIANT":"'), "event_type", F.lit('"')), F.concat(F.lit('"VOID":'), F.col("user_id").cast("string")),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"a.b":'), F.get_json_object(F.to_json(F.struct("value")), "$.value"))),
+        F.concat(F.lit('"Name":"'), "event_type", F.lit('"')), F.concat(F.lit('"name":'), F.col("event_id").cast("string")),
+        F.concat(F.lit('"big":'), F.col("big").cast("string")),
+    )
+    records = ev.select("event_id", F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("}")).alias("record"))
+    out = records_table(records)
+    return out.select("event_id", "VARIANT", "VOID", "`a.b`", "Name", "name_2", F.col("big").cast("string").alias("big_text"))
+
+
 @query("s5_documents_without_records", "select event_id from events where event_id % 4 = 2")
 def s5(spark, d):
     return documents_without_records(documents(spark, d))
@@ -162,6 +184,23 @@ def p19(spark, d):
     )
 
 
+FORMS = ("yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "MMM d, yyyy HH:mm", "d MMMM yyyy HH:mm", "yyyyMMdd HHmm'00'", "d-MMM-yyyy hh:mm a")
+
+
+@query("p6_timestamp_forms", """select event_id, date_trunc('minute', ts) by_day, date_trunc('minute', ts) by_month,
+date_trunc('minute', ts) named, case when event_id % 7 <> 0 then date_trunc('day', ts) end holes from events""")
+def p6_forms(spark, d):
+    """The same moments day first, month first, in forms with one reading, and as bare days with some words among them."""
+    ev = table(spark, d, "events")
+    mixed = F.coalesce(*[F.when(F.col("event_id") % len(FORMS) == i, F.date_format("ts", f)) for i, f in enumerate(FORMS)])
+    written = ev.select(
+        "event_id", F.date_format("ts", "dd/MM/yyyy HH:mm").alias("by_day"), F.date_format("ts", "M/d/yy h:mm a").alias("by_month"),
+        mixed.alias("named"), F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "d.M.yyyy")).otherwise("open").alias("holes"),
+    )
+    forms = time_forms(written, ["by_day", "by_month", "named", "holes"])
+    return written.select("event_id", *[s.as_timestamp(c, written.schema[c].dataType, forms[c].day_first).cast("timestamp_ntz").alias(c) for c in written.columns[1:]])
+
+
 _GREET = "|".join(GREETINGS)
 
 
