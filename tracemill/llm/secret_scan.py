@@ -9,7 +9,9 @@ window, so a candidate of any length takes one step per character. Allow-listed
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log2
 from typing import NamedTuple
 
@@ -18,8 +20,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracemill.llm import ship
+from tracemill.llm import column, ship
 from tracemill.llm import text as X
 
 # Fixed patterns of the kinds, in their order; over UTF-8 bytes, where they match ASCII only.
@@ -123,25 +126,38 @@ def _scan(data: np.ndarray, offsets: np.ndarray, allow: list[re.Pattern]) -> dic
         for m in ACCESS.finditer(whole[int(offsets[row]) - base : int(offsets[row + 1]) - base]):
             if m.end() - m.start() >= 20:
                 found.setdefault(row, []).append((m.start(), 1, m.end()))
-    for kind, chars, least in ((2, HEX, 24), (3, CANDIDATE, LEAST)):
-        spans = long_runs(data, offsets, chars, least)
-        for row, (s, e) in zip(owner(spans[:, 0]).tolist(), spans.tolist()):
-            off = int(offsets[row])
-            if kind == 2:
-                found.setdefault(row, []).append((s - off, 2, e - off))
-                continue
-            text = data[s:e].tobytes()
-            if any(p.fullmatch(text) for p in allow):
-                continue
-            cls = next(c for c in CLASSES if c.pattern.fullmatch(text))
-            hit = entropy_span(text, cls.window, cls.bits)
-            if hit:
-                a, b = s - off + hit[0], s - off + hit[1]
-                if not any(x <= a and b <= y for x, _, y in found.get(row, ())):
-                    found.setdefault(row, []).append((a, 3, b))
+    spans = long_runs(data, offsets, HEX, 24)
+    for row, (s, e) in zip(owner(spans[:, 0]).tolist(), spans.tolist()):
+        found.setdefault(row, []).append((s - int(offsets[row]), 2, e - int(offsets[row])))
+    fixed: dict[int, tuple[list[int], list[int]]] = {}  # starts, and the furthest end up to each
+    spans = long_runs(data, offsets, CANDIDATE, LEAST)
+    for row, (s, e) in zip(owner(spans[:, 0]).tolist(), spans.tolist()):
+        text = data[s:e].tobytes()
+        if any(p.fullmatch(text) for p in allow):
+            continue
+        cls = next(c for c in CLASSES if c.pattern.fullmatch(text))
+        hit = entropy_span(text, cls.window, cls.bits)
+        if hit:
+            off = s - int(offsets[row])
+            a, b = off + hit[0], off + hit[1]
+            if row not in fixed:
+                known = sorted(found.get(row, ()))
+                fixed[row] = [x for x, _, _ in known], list(accumulate((y for _, _, y in known), max))
+            starts, ends = fixed[row]
+            at = bisect_right(starts, a) - 1
+            if at < 0 or ends[at] < b:
+                found.setdefault(row, []).append((a, 3, b))
     return found
 
 
+def _spans(batch: pa.RecordBatch, text_at: int, allowed: list[re.Pattern]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, dict]]:
+    """(first row, row after, bytes, offsets, row -> sorted (start, kind number, end) in bytes) of parts of a batch."""
+    data, offsets = X.utf8(batch.column(text_at))
+    for lo, hi in X.groups(offsets):
+        at = offsets[lo : hi + 1]
+        yield lo, hi, data, at, {row: sorted(hits) for row, hits in _scan(data, at, allowed).items()}
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[bytes, ...] = ALLOW, keep: tuple[str, ...] = (), spans_col: str = "spans") -> DataFrame:
     """(id, *keep, spans): ``spans`` are (kind, start, end) in code points, by start, then kind.
 
@@ -152,24 +168,23 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     columns = list(dict.fromkeys([id_col, text_col, *keep]))
     out = [c for c in columns if c == id_col or c in keep]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out)
+    kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    schema = T.StructType([docs.schema[c] for c in out] + [T.StructField(spans_col, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed = [re.compile(p) for p in allow]
         for batch in batches:
-            data, offsets = X.utf8(batch.column(1))
-            for lo, hi in X.groups(offsets):
-                at = offsets[lo : hi + 1]
+            for lo, hi, data, at, found in _spans(batch, 1, allowed):
                 spans: list[list] = [[] for _ in range(hi - lo)]
-                for row, hits in _scan(data, at, allowed).items():
+                for row, hits in found.items():
                     text = data[at[row] : at[row + 1]]
                     chars = np.zeros(len(text) + 1, dtype=np.int64)
                     np.cumsum((text & 0xC0) != 0x80, out=chars[1:])
-                    spans[row] = [{"kind": KINDS[k], "start": int(chars[s]), "end": int(chars[e])} for s, k, e in sorted(hits)]
+                    spans[row] = [{"kind": KINDS[k], "start": int(chars[s]), "end": int(chars[e])} for s, k, e in hits]
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(part.column(columns.index(c)) for c in out), pa.array(spans, pa.list_(span))], [*out, spans_col])
 
-    return docs.select(*columns).mapInArrow(run, f"{fields}, `{spans_col}` array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select(*[column(c).alias(f"_d{i}") for i, c in enumerate(columns)]).mapInArrow(run, schema)
 
 
 def digest(spans: Column) -> Column:
@@ -189,18 +204,31 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Texts without a span, null included, stay as they are, as do the other columns.
     """
-    others = tuple(docs.columns)
-    found = find_secrets(docs, id_col, text_col, keep=others, spans_col="_secret_spans")
-
-    # Spans are sorted by start: carry the text so far and the end of the last span.
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(F.col(text_col), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        inside = (s["start"] < acc["at"]) & (acc["at"] > 0)
-        return F.struct(
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(MASK))).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        )
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    masked = F.aggregate(F.col("_secret_spans"), start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, F.lit(2**31 - 1))))
-    return found.withColumn(text_col, F.when(F.size("_secret_spans") > 0, masked).otherwise(F.col(text_col))).select(*others)
+    ship(docs.sparkSession)
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allowed = [re.compile(p) for p in ALLOW]
+        for batch in batches:
+            for lo, hi, data, at, found in _spans(batch, at_text, allowed):
+                part = batch.slice(lo, hi - lo)
+                if found:
+                    texts = part.column(at_text)
+                    kept = {row: _masked(data[at[row] : at[row + 1]].tobytes(), hits) for row, hits in found.items()}
+                    new = pa.array([kept.get(i) for i in range(hi - lo)], texts.type)
+                    part = part.set_column(at_text, part.schema.field(at_text), pc.coalesce(new, texts))
+                yield part
+
+    # Numbered names, as those of ``docs`` may hold dots.
+    plain = docs.toDF(*[f"_d{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def _masked(text: bytes, hits: list[tuple[int, int, int]]) -> str:
+    """A text with ``MASK`` for its spans, which are sorted by start."""
+    out, at = [], 0
+    for s, _, e in hits:
+        if s >= at or not out:
+            out += [text[at:s], MASK.encode()]
+        at = max(at, e)
+    return b"".join([*out, text[at:]]).decode()
