@@ -55,6 +55,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
+# What begins a token without any ">" behind it; it takes the rest of the page.
+OPEN = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?].*", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 SPACE = re.compile(r"\s+")
 
@@ -167,8 +169,12 @@ def parse(html: str) -> Node:
             x = x.parent
         at = node.parent
 
+    last = html.rfind(">") + 1  # no tag ends behind it, so none is looked for there
     while True:
-        m = TOKEN.search(html, pos)
+        m = TOKEN.search(html, pos, last) if pos < last else None
+        if m and m.end() == last and (m[0].startswith("<!--") and not m[0].endswith("-->") or m[0].startswith("<![CDATA[") and not m[0].endswith("]]>")):
+            m = OPEN.match(html, m.start())
+        m = m or OPEN.search(html, max(pos, last))
         text = html[pos : m.start() if m else len(html)]
         if at.tag == "head" and text and not text.isspace():
             close_to(at)
@@ -178,7 +184,7 @@ def parse(html: str) -> Node:
             _prune(root)
             return root
         pos = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = "" if m.re is OPEN else (m[2] or m[5] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA[") and not dropped:
                 at.children.append(m[0][9:].removesuffix("]]>"))
