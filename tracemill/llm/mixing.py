@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tracemill.llm import ship
+from tracemill.llm import column, ship
 from tracemill.session import checkpoint
 
 DP_WORDS = 1 << 15  # the largest gap that the dynamic program closes
@@ -120,8 +120,7 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str =
 
     ``times`` is 0, 1 or 2 and ``taken`` is ``times * size``. A null text has size 0; a document
     of size 0 is taken as often as its source is taken whole. A null source is a source, the last.
-    Rows with one id are told apart by their place in the input only; for distinct ids, runs agree
-    whatever the layout.
+    Rows with one id are told apart by their text and what is kept, so runs agree whatever the layout.
     """
     ship(docs.sparkSession)
     extra = [c for c in dict.fromkeys(keep) if c != id_col]
@@ -130,7 +129,8 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str =
         F.col(source_col).alias("_source"),
         word_count(F.col(text_col)).alias("_size"),
         F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(BUCKETS)).cast("int").alias("_b"),
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(extra)],
+        F.xxhash64(F.lit(seed + 2), F.col(text_col)).alias("_t"),
+        *[column(c).alias(f"_k{i}") for i, c in enumerate(extra)],
     )
     # One count per source, size and hash bucket; all that follows works on counts.
     fine = checkpoint(base.groupBy("_source", "_size", "_b").agg(F.count(F.lit(1)).alias("n")))
@@ -157,7 +157,9 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str =
     held = base.join(cuts, base["_source"].eqNullSafe(cuts["_cs"]) & (base["_size"] == cuts["_cz"]), "left").drop("_cs", "_cz")
     split = F.coalesce((F.col("_b") == F.col("_cut")) & (F.col("_take") < F.col("_have")), F.lit(False))
     sure = held.filter(~split).withColumn("_in", F.coalesce(F.col("_b") <= F.col("_cut"), F.lit(False)))
-    rank = F.row_number().over(Window.partitionBy("_source", "_size").orderBy(F.xxhash64(F.lit(seed + 1), F.col("_id")), "_id", F.monotonically_increasing_id()))
+    # Rows that agree in id, text and all that is kept are the same to any reader.
+    rest = [F.to_json(F.struct(*[F.col(f"_k{i}") for i in range(len(extra))]))] if extra else []
+    rank = F.row_number().over(Window.partitionBy("_source", "_size").orderBy(F.xxhash64(F.lit(seed + 1), F.col("_id")), "_id", "_t", *rest))
     ranked = held.filter(split).withColumn("_r", rank).withColumn("_in", F.col("_r") <= F.col("_take")).drop("_r")
     passes = plan.groupBy("source").agg(F.max("passes").alias("passes"))
     per_source = targets.join(passes, targets["source"].eqNullSafe(passes["source"])).select(targets["source"].alias("_ts"), "source_size", "target", "passes")
