@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tracemill.llm import ship, stored
@@ -400,22 +401,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class of ``near_duplicates``: the one whose id names it. Columns stay as they are."""
-    classes = near_duplicates(docs, id_col, text_col, threshold)
-    kept = classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_kept"), F.col("node").alias("_kept_node")).distinct()
+    """One row of each class of ``near_duplicates``: the one whose id names it. Columns stay as they are.
+
+    Columns may have any name and any type that has a JSON text, maps included. Of rows with one id and
+    the same shingles the least by text, then by all columns, stays.
+    """
     columns = docs.columns
+    # Numbered names, so that no column of ``docs`` meets one of those added here.
+    plain = docs.toDF(*[f"_d{i}" for i in range(len(columns))])
+    own, body = f"_d{columns.index(id_col)}", f"_d{columns.index(text_col)}"
+    classes = near_duplicates(plain, own, body, threshold)
+    kept = classes.filter(F.col(own).eqNullSafe(F.col("class_id"))).select(F.col(own).alias("_kept"), F.col("node").alias("_kept_node")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = columns.index(text_col)
+        at = names.index(body)
         for batch in batches:
             data, offsets = X.utf8(batch.column(at))
             for lo, hi in X.groups(offsets, TEXT_BYTES):
                 node = shingles(data, offsets[lo : hi + 1])[0]
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(node)], [*columns, "_node"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    named = docs.mapInArrow(run, f"{fields}, _node long")
-    found = named.join(kept, named[id_col].eqNullSafe(kept["_kept"]) & (named["_node"] == kept["_kept_node"]))
-    found = found.drop(kept["_kept"], kept["_kept_node"])
-    again = F.row_number().over(Window.partitionBy(id_col, "_node").orderBy(text_col, *[c for c in columns if c not in (id_col, text_col)]))
-    return found.withColumn("_again", again).filter("_again = 1").select(*columns)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(node)], [*names, "_node"])
+
+    names = plain.columns
+    named = plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField("_node", T.LongType())]))
+    found = named.join(kept, named[own].eqNullSafe(kept["_kept"]) & (named["_node"] == kept["_kept_node"]))
+    found = found.drop("_kept", "_kept_node")
+    again = F.row_number().over(Window.partitionBy(own, "_node").orderBy(body, F.to_json(F.struct(*[F.col(c) for c in names]))))
+    return found.withColumn("_again", again).filter("_again = 1").select(*names).toDF(*columns)

@@ -16,8 +16,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracemill.llm import ship
+from tracemill.llm import column, ship
 from tracemill.llm import text as X
 
 BITS = 21
@@ -144,7 +145,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
     columns = list(dict.fromkeys([id_col, text_col, *keep]))
     out = [c for c in columns if c == id_col or c in keep]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out) + ", score double"
+    schema = T.StructType([docs.schema[c] for c in out] + [T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.zeros(1 << BITS, dtype=np.float64)
@@ -161,7 +162,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 chance = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
                 yield pa.RecordBatch.from_arrays([*(part.column(columns.index(c)) for c in out), pa.array(chance)], [*out, "score"])
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*[column(c).alias(f"_d{i}") for i, c in enumerate(columns)]).mapInArrow(run, schema)
 
 
 def frame(model: Model) -> pd.DataFrame:
