@@ -149,7 +149,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, relax: float = RELAX, id_
     ``is_query`` is a condition on the column "id". Every usable vector is indexed; vectors of one length in
     components are searched together. Copies of a vector are one point of the tree, which keeps the
     k + 1 smallest ids: with ties going to the smaller id, no other can be among k results. Rows with
-    the same id and vector are one.
+    the same id and vector are one; an id with several vectors has the score of the nearest pair of them.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -216,4 +216,4 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, relax: float = RELAX, id_
     found = trees.join(blocks, ["dim", "shard"]).mapInArrow(find, "query_id long, id long, score double")
     # Each shard gives k rows per query at most.
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.dropDuplicates(["query_id", "id"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return found.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
