@@ -18,6 +18,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from tracemill.llm import minhash, mixing, mod_crc, packing, secret_scan, stored, table, toxicity  # noqa: E402
 
 
+def _numbered(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with numbers for column names but ``names``, so that no name meets one that a stage adds."""
+    return docs.toDF(*[c if c in names else f"_d{i}" for i, c in enumerate(docs.columns)])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5; labels of a fifth of the ids are not learned from.
 
@@ -27,9 +32,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(rows)
     if not len(model.features):
         return docs
-    columns = docs.columns
-    scored = toxicity.score(docs.withColumnsRenamed({"score": "_score"}), model, keep=tuple("_score" if c == "score" else c for c in columns))
-    return scored.filter("score < 0.5").drop("score").withColumnsRenamed({"_score": "score"}).select(*columns)
+    plain = _numbered(docs, "doc_id", "text")
+    scored = toxicity.score(plain, model, keep=tuple(plain.columns))
+    return scored.filter("score < 0.5").select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +52,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it: not at all, once or twice."""
-    columns = docs.columns
-    named = {c: f"_d{i}" for i, c in enumerate(columns)}
-    mixed = mixing.mix(docs.withColumns({n: F.col(c) for c, n in named.items() if c != "doc_id"}), keep=tuple(n for c, n in named.items() if c != "doc_id"))
+    plain = _numbered(docs, "doc_id", "text", "source")
+    mixed = mixing.mix(plain, keep=tuple(c for c in plain.columns if c != "doc_id"))
     repeated = mixed.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))))
-    return repeated.select(*[F.col("doc_id") if c == "doc_id" else F.col(n).alias(c) for c, n in named.items()])
+    return repeated.select(*plain.columns).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
