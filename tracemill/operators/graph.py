@@ -16,6 +16,9 @@ from tracemill.session import checkpoint
 # Rounds kept as separate pieces before they are written as one.
 _MAX_PIECES = 8
 
+# Edges that a search goes one a round before chains are contracted.
+PLAIN_ROUNDS = 4
+
 # Texts and ids of repaired boundaries.
 START_LABEL, END_LABEL = "Start", "End"
 TRIGGER_PREFIX, FIN_PREFIX = "trigger", "fin"
@@ -98,17 +101,84 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return current
 
 
-def cyclic_workflows(edges: DataFrame) -> DataFrame:
-    """Workflows that contain a cycle."""
-    return cyclic_core(edges).select("workflow_id").distinct()
+def chain_roots(single: DataFrame) -> DataFrame:
+    """(workflow_id, id, root): from ``id`` along ``up`` to the first node that is no ``id`` itself.
 
+    Null on a circle. Each round doubles the steps that a node has gone, so their number is the
+    logarithm of the longest chain.
+    """
+    now = checkpoint(single.select("workflow_id", "id", "up", F.lit(False).alias("done")))
+    total = left = now.count()
+    steps = 1
+    while left and steps <= total:
+        above = now.select("workflow_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("done").alias("_done"))
+        now = checkpoint(
+            now.join(above, ["workflow_id", "up"], "left").select(
+                "workflow_id", "id", F.coalesce("_up", "up").alias("up"), (F.col("done") | F.col("_up").isNull() | F.col("_done")).alias("done")
+            )
+        )
+        left = now.filter(~F.col("done")).count()
+        steps *= 2
+    return now.select("workflow_id", "id", F.when(F.col("done"), F.col("up")).alias("root"))
 
-def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(workflow_id, id) reachable from ``sources``, themselves included."""
-    links = checkpoint(edges.select("workflow_id", F.col("de").alias("id"), "vers").distinct())
-    frontier = checkpoint(sources.select("workflow_id", "id").distinct())
-    found = [frontier]
+
+def _singles(edges: DataFrame, at: str, other: str) -> DataFrame:
+    """(workflow_id, id, up): nodes with one edge at their ``at`` side, and its other end."""
+    return edges.groupBy("workflow_id", F.col(at).alias("id")).agg(F.count(F.lit(1)).alias("_n"), F.min(other).alias("up")).filter(
+        F.col("_n") == 1
+    ).drop("_n")
+
+
+def _contracted(edges: DataFrame, at: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, workflows with a circle): nodes with one edge at ``at`` become one with its other end.
+
+    That keeps every cycle, as all paths through such a node take that edge.
+    """
+    single = checkpoint(_singles(edges, at, other))
+    if single.isEmpty():
+        return edges, single.select("workflow_id")
+    roots = checkpoint(chain_roots(single))
+    circles = roots.filter(F.col("root").isNull()).select("workflow_id").distinct()
+    kept = edges.join(single.select("workflow_id", F.col("id").alias(at)), ["workflow_id", at], "left_anti")
+    moved = kept.join(roots.withColumnRenamed("id", other), ["workflow_id", other], "left")
+    out = moved.select("workflow_id", F.col(at), F.coalesce("root", other).alias(other)).distinct()
+    out = out.join(circles, "workflow_id", "left_anti")
+    return checkpoint(out.select("workflow_id", "de", "vers")), circles
+
+
+def cyclic_workflows(edges: DataFrame) -> DataFrame:
+    """Workflows that contain a cycle.
+
+    A round drops edges at nodes that nothing enters or leaves, and contracts chains. A workflow that
+    loses no edge has only nodes that are entered, and so a cycle. Rounds grow with the depth of what
+    chains leave: nodes that several edges enter and several leave.
+    """
+    current = checkpoint(edges.select("workflow_id", "de", "vers").distinct())
+    found = [current.select("workflow_id").filter("false")]
+    while not current.isEmpty():
+        peeled = checkpoint(_peel(current).select("workflow_id", "de", "vers"))
+        had = current.groupBy("workflow_id").agg(F.count(F.lit(1)).alias("_had"))
+        has = peeled.groupBy("workflow_id").agg(F.count(F.lit(1)).alias("_has"), F.bool_or(F.col("de") == F.col("vers")).alias("_self"))
+        stuck = checkpoint(had.join(has, "workflow_id").filter((F.col("_had") == F.col("_has")) | F.col("_self")).select("workflow_id"))
+        found.append(stuck)
+        current = peeled.join(stuck, "workflow_id", "left_anti")
+        for at, other in (("vers", "de"), ("de", "vers")):
+            current, circles = _contracted(current, at, other)
+            found.append(circles)
+        looped = checkpoint(current.filter(F.col("de") == F.col("vers")).select("workflow_id").distinct())
+        found.append(looped)
+        current = checkpoint(current.join(looped, "workflow_id", "left_anti"))
+        found = [checkpoint(union_all(found).distinct())]
+    return union_all(found).distinct()
+
+
+def _walk(links: DataFrame, frontier: DataFrame, rounds: int | None = None) -> tuple[DataFrame, bool]:
+    """(what is reached, whether that is all), one edge a round."""
+    found, n = [frontier], 0
     while not frontier.isEmpty():
+        if n == rounds:
+            return union_all(found), False
+        n += 1
         reached = (
             links.join(frontier, ["workflow_id", "id"])
             .select("workflow_id", F.col("vers").alias("id"))
@@ -118,7 +188,35 @@ def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
         found.append(frontier)
         if len(found) > _MAX_PIECES:
             found = [checkpoint(union_all(found))]
-    return union_all(found)
+    return union_all(found), True
+
+
+def reachable(edges: DataFrame, sources: DataFrame, plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
+    """(workflow_id, id) reachable from ``sources``, themselves included.
+
+    After some plain rounds a node that one edge enters is reached just if the first node before it
+    that is entered otherwise, or was reached before, is; so chains cost the logarithm of their length
+    and rounds go over the other nodes only.
+    """
+    links = checkpoint(edges.select("workflow_id", F.col("de").alias("id"), "vers").distinct())
+    start = checkpoint(sources.select("workflow_id", "id").distinct())
+    seen, whole = _walk(links, start, plain_rounds)
+    if whole:
+        return seen
+    seen = checkpoint(seen)
+    ahead = links.join(seen.withColumnRenamed("id", "vers"), ["workflow_id", "vers"], "left_anti")
+    single = checkpoint(_singles(ahead.withColumnRenamed("id", "de"), "vers", "de"))
+    roots = checkpoint(chain_roots(single))
+    kept = ahead.join(single.select("workflow_id", F.col("id").alias("vers")), ["workflow_id", "vers"], "left_anti")
+    jumps = checkpoint(
+        kept.join(roots.withColumn("_single", F.lit(True)), ["workflow_id", "id"], "left")
+        .filter(F.col("root").isNotNull() | F.col("_single").isNull())  # no path comes to a circle of such nodes
+        .select("workflow_id", F.coalesce("root", "id").alias("id"), "vers").distinct()
+    )
+    reached, _ = _walk(jumps, seen)
+    reached = checkpoint(reached)
+    along = roots.join(reached.withColumnRenamed("id", "root"), ["workflow_id", "root"], "left_semi").select("workflow_id", "id")
+    return reached.unionByName(along)
 
 
 def unreachable_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
