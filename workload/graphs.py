@@ -10,6 +10,7 @@ from tracemill.operators import workflow_rules as wr
 from workload import query
 from workload.bindings import (
     CHAIN,
+    DAYS,
     FOLLOWS,
     chain_edges,
     chain_nodes,
@@ -57,9 +58,18 @@ def g2(spark, d):
     return g.cyclic_workflows(follows_edges(spark, d))
 
 
-@query("g2_chain_is_acyclic", f"with {CHAIN} select workflow_id from edges where de = vers")
+@query("g2_chain_is_acyclic", f"""with days as ({DAYS})
+select workflow_id from days where user_id % 3 = 0 group by 1 having count(*) > 1""")
 def g2c(spark, d):
-    return g.cyclic_workflows(chain_edges(spark, d))
+    """Chains, of which those of every third user are closed from their last event to the first."""
+    moment = F.struct("ts", "event_id")
+    ends = table(spark, d, "events").filter(F.col("user_id") % 3 == 0).groupBy(
+        F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("workflow_id")
+    ).agg(F.max(moment).alias("_last"), F.min(moment).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    closing = ends.filter("_n > 1").select(
+        "workflow_id", F.col("_last.event_id").cast("string").alias("de"), F.col("_first.event_id").cast("string").alias("vers")
+    )
+    return g.cyclic_workflows(chain_edges(spark, d).select("workflow_id", "de", "vers").unionByName(closing))
 
 
 @query("g4_reachable", f"with recursive {FOLLOWS}, {_WALK}, {_SEEN} select workflow_id, id from seen")
@@ -162,9 +172,11 @@ def u3(spark, d):
     return t.overlapping_classes(rows)
 
 
-@query("u5_empty_transformations", "select c_custkey workflow_id from customer where c_custkey not in (select o_custkey from orders)")
+@query("u5_empty_transformations", """select c_custkey workflow_id from customer left join orders
+on o_custkey = c_custkey and o_orderpriority = '1-URGENT' group by 1 having count(o_orderkey) = 0""")
 def u5(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("workflow_id"))
+    """Customers as workflows, their urgent orders as classified steps."""
+    orders = table(spark, d, "orders").filter(F.col("o_orderpriority") == "1-URGENT").select(F.col("o_custkey").alias("workflow_id"))
     return t.empty_transformations(orders, table(spark, d, "customer").select(F.col("c_custkey").alias("workflow_id")))
 
 
