@@ -9,6 +9,7 @@ from tracemill.functions.scalars import non_blank, word_count
 from tracemill.operators import graph
 from tracemill.operators.rules import duplicates, union_all, violations, warnings_array
 from tracemill.operators.transform import classify_steps, empty_transformations, overlapping_classes, uncovered_steps
+from tracemill.session import checkpoint
 
 # Fixed values.
 NODE_TYPES = ["trigger", "automatique", "humain", "decision", "fin", "ia"]
@@ -92,7 +93,12 @@ def type_counts(nodes: DataFrame) -> DataFrame:
 def workflow_violations(
     workflows: DataFrame, nodes: DataFrame, edges: DataFrame, steps: DataFrame | None = None
 ) -> DataFrame:
-    """V6: all rules of workflows. ``steps`` (workflow_id, id) adds the diagnosis rules."""
+    """V6: all rules of workflows. ``steps`` (workflow_id, id) adds the diagnosis rules.
+
+    Each input is derived once and written, as a dozen rules read it.
+    """
+    workflows, nodes, edges = map(checkpoint, (workflows, nodes, edges))
+    steps = None if steps is None else checkpoint(steps)
     counted = workflows.select("workflow_id").distinct().join(type_counts(nodes), "workflow_id", "left")
     empty = F.col("nodes").isNull()
     found = [
@@ -116,7 +122,7 @@ def workflow_violations(
         *path_violations(nodes, edges),
     ]
     if steps is not None:
-        classes = classify_steps(steps, nodes)
+        classes = checkpoint(classify_steps(steps, nodes))
         found += [
             _all_rows(uncovered_steps(classes, steps), "step", "step_id", "classification_not_exact"),
             _all_rows(overlapping_classes(classes), "step", "step_id", "step_in_two_classes"),
@@ -130,7 +136,7 @@ def workflow_violations(
 def path_violations(nodes: DataFrame, edges: DataFrame) -> list[DataFrame]:
     """No trigger-to-end path at all, and ends out of reach; one search serves both."""
     typed = nodes.select("workflow_id", "id", "type_noeud").distinct()
-    seen = graph.reachable(edges, typed.filter(_is("trigger")))
+    seen = checkpoint(graph.reachable(edges, typed.filter(_is("trigger"))))
     ends = typed.filter(_is("fin"))
     reached = ends.join(seen, ["workflow_id", "id"], "left_semi").select("workflow_id").distinct()
     return [
