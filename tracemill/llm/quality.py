@@ -106,6 +106,7 @@ BASE = ("few_words", "repeated_words")
 POLICIES: dict[str, tuple[str, ...]] = {
     "v1": BASE,
     "v2": (*BASE, "symbols", "duplicate_lines", "long_words", "short_words", "digits", "no_words"),
+    "v3": (*BASE, "symbols", "duplicate_lines", "long_words", "short_words", "digits", "no_words", "giant_word"),
 }
 
 
@@ -125,6 +126,12 @@ def passes(policy: str) -> Column:
     return F.col("failures").bitwiseAND(F.lit(mask(POLICIES[policy])).cast("long")) == 0
 
 
+def sole_failure(policy: str) -> Column:
+    """The rule of the policy without which a ledger row would pass, null where none or several reject."""
+    failed = F.col("failures").bitwiseAND(F.lit(mask(POLICIES[policy])).cast("long"))
+    return F.coalesce(*[F.when(failed == 1 << b, F.lit(n)) for b, n, _ in RULES if n in POLICIES[policy]])
+
+
 def ablations(entries: DataFrame, policy: str) -> DataFrame:
     """(rule, failed, failed_alone, kept_without) of each rule of a policy, from the bits alone.
 

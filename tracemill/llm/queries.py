@@ -51,13 +51,20 @@ rep as (select r, count(distinct i + j) n_repeat_words from (select r, i, unnest
 dup as (select r, sum(c - 1) n_dup_lines from (select r, x, count(*) c from (select r, unnest(l) x from words) group by 1, 2) group by 1),
 m as (select doc_id, len(w) n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols, coalesce(n_dup_lines, 0)::bigint n_dup_lines,
-  coalesce(n_repeat_words, 0)::bigint n_repeat_words, len(l) n_lines, length(regexp_replace(t, '[^0-9]', '', 'g')) n_digits
-  from words left join rep using (r) left join dup using (r))
-select doc_id, n_words::bigint n_words, word_chars, n_symbols::bigint n_symbols, n_dup_lines, n_repeat_words,
+  coalesce(n_repeat_words, 0)::bigint n_repeat_words, len(l) n_lines, length(regexp_replace(t, '[^0-9]', '', 'g')) n_digits,
+  coalesce(list_max(list_transform(w, lambda x: length(x))), 0) n_longest_word
+  from words left join rep using (r) left join dup using (r)),
+f as (select *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, 100 * n_symbols > 40 * n_words, 100 * n_dup_lines > 50 * n_lines,
+  word_chars > 25 * n_words, 2 * word_chars < 3 * n_words, 100 * n_digits > 30 * word_chars, n_words = 0, n_longest_word > 1000] fails,
+  ['few_words', 'repeated_words', 'symbols', 'duplicate_lines', 'long_words', 'short_words', 'digits', 'no_words', 'giant_word'] names from m)
+select doc_id, n_lines::bigint n_lines, n_digits::bigint n_digits, n_longest_word::bigint n_longest_word,
+  list_sum(list_transform(range(9), lambda i: case when fails[i + 1] then 1 << i else 0 end))::bigint failures,
+  not list_contains(fails, true) kept_v3,
+  case when len(list_filter(fails, lambda x: x)) = 1 then names[list_position(fails, true)] end sole_failure, n_words::bigint n_words, word_chars, n_symbols::bigint n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
   not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 100 * n_symbols > 40 * n_words
     or 100 * n_dup_lines > 50 * n_lines or word_chars > 25 * n_words or 2 * word_chars < 3 * n_words
-    or 100 * n_digits > 30 * word_chars) kept from m"""
+    or 100 * n_digits > 30 * word_chars) kept from f"""
 
 
 @query("op6_quality", OP6)
@@ -65,7 +72,8 @@ def op6(spark, d):
     entries = quality.ledger(quality.measure(table(spark, d, "documents")))
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (~quality.passes("v1")).alias("base_failed"), quality.passes("v2").alias("kept"),
+        "n_lines", "n_digits", "n_longest_word", "failures", (~quality.passes("v1")).alias("base_failed"), quality.passes("v2").alias("kept"),
+        quality.passes("v3").alias("kept_v3"), quality.sole_failure("v3").alias("sole_failure"),
     )
 
 
