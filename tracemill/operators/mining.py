@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.scalars import minutes_between, round_to, whole_days_between
 from tracemill.operators.median import exact_median
 from tracemill.operators.sequence import MAX_GROUP_ROWS, along, oversized
-from tracemill.session import broadcast_if_small
+from tracemill.session import broadcast_if_small, checkpoint
 
 CASE = ["process_id", "case_id"]
 
@@ -190,13 +190,22 @@ def _split_by_length(log: DataFrame, max_events: int) -> tuple[DataFrame, DataFr
 def variants(log: DataFrame, max_events: int = MAX_PATH_EVENTS) -> DataFrame:
     """Distinct activity sequences with their case counts.
 
-    ``variant`` lists the activities in order. Cases above ``max_events`` events are not
-    gathered: they are compared by length and by a 128-bit fingerprint of (position,
-    activity) pairs, their ``variant`` is null, and ``example_case`` leads to the events.
+    ``variant`` lists the activities in order. Cases above ``max_events`` events are cut into pieces of
+    that length, equal pieces get one name, and cases are compared by the names of their pieces, so
+    equality is exact at any length. Their ``variant`` is null, as no row holds it: ``variant_parts``
+    has the activities of every variant by ``example_case``.
     """
     short, long = _split_by_length(log, max_events)
     found = _path_variants(_paths(short))
-    return found if long is None else found.unionByName(_long_variants(long))
+    return found if long is None else found.unionByName(_long_variants(long, max_events))
+
+
+def variant_parts(log: DataFrame, max_events: int = MAX_PATH_EVENTS) -> DataFrame:
+    """(process_id, example_case, part, activities): every variant, ``max_events`` activities a row."""
+    found = variants(log, max_events).select("process_id", F.col("example_case").alias("case_id"))
+    named = log.join(broadcast_if_small(found), CASE, "left_semi")
+    pieces = _pieces(along(_ordered(named), CASE, _ORDER, _SPLIT, position="_p"), "activity", max_events)
+    return pieces.select("process_id", F.col("case_id").alias("example_case"), F.col("_c").alias("part"), F.col("_content").alias("activities"))
 
 
 def _path_variants(paths: DataFrame) -> DataFrame:
@@ -208,14 +217,27 @@ def _path_variants(paths: DataFrame) -> DataFrame:
     )
 
 
-def _long_variants(log: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def _pieces(placed: DataFrame, value: str, length: int) -> DataFrame:
+    """(case, _c, _content): ``value`` by position ``_p`` from 1, in pieces of ``length``."""
+    piece = F.floor((F.col("_p") - 1) / length)
+    content = F.transform(F.sort_array(F.collect_list(F.struct("_p", value))), lambda x: x[value])
+    return placed.groupBy(*CASE, piece.alias("_c")).agg(content.alias("_content"))
+
+
+def _long_variants(log: DataFrame, max_events: int, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     placed = along(_ordered(log), CASE, _ORDER, _SPLIT, position="_p", max_rows=max_rows)
-    prints = placed.groupBy(*CASE).agg(
-        F.count(F.lit(1)).alias("length"),
-        F.bit_xor(F.xxhash64("_p", "activity")).alias("_f1"),
-        F.bit_xor(F.xxhash64("activity", "_p", F.lit("second"))).alias("_f2"),
-    )
-    return prints.groupBy("process_id", "length", "_f1", "_f2").agg(
+    lengths = log.groupBy(*CASE).agg(F.count(F.lit(1)).alias("length"))
+    placed, value = placed.select(*CASE, "_p", "activity"), "activity"
+    while True:  # a round divides the length of the longest case by ``max_events``
+        pieces = checkpoint(_pieces(placed, value, max_events))
+        # A piece is named by the first case, and the place there, that has just its content.
+        names = pieces.groupBy("process_id", "_content").agg(F.min(F.struct("case_id", "_c")).alias("_name"))
+        named = pieces.join(names, ["process_id", "_content"]).select(*CASE, (F.col("_c") + 1).alias("_p"), F.to_json("_name").alias("_name"))
+        placed, value = checkpoint(named), "_name"
+        if placed.filter(F.col("_p") > 1).isEmpty():
+            break
+    whole = placed.select(*CASE, "_name").join(lengths, CASE)
+    return whole.groupBy("process_id", "length", "_name").agg(
         F.count(F.lit(1)).alias("cases"), F.min("case_id").alias("example_case")
     ).select(
         "process_id",
