@@ -10,6 +10,7 @@ from tracemill.functions.times import time_forms
 from tracemill.operators.actions import GREETINGS, atomic_actions
 from tracemill.operators.normalize import normalize
 from tracemill.operators.resolve import resolve_time_context
+from tracemill.operators.rules import union_all
 from tracemill.operators.telemetry import telemetry_summary
 from tracemill.sources.catalog import catalog_names
 from tracemill.sources.documents import documents_without_records, extract_records, records_table
@@ -175,6 +176,31 @@ _resolve_duration("duration_hours", 60.0, False)
 _resolve_duration("duree_jours", 1440.0, True)
 
 
+@query("p9_p17_time_contexts", """select variant, resolution, "mode", report, quantified, n,
+  case when variant = 'no_activity' then 0 else distinct_types end activities from (values
+  ('no_activity', 'none', 'insufficient', 'none', false), ('user_metrics', 'E', 'provided', 'user_input', true),
+  ('one_user_metric', 'F', 'insufficient', 'none', false), ('no_time', 'F', 'insufficient', 'none', false),
+  ('minutes', 'B', 'estimated', 'duration_column', true), ('moments', 'A', 'estimated', 'event_log', true)
+) v(variant, resolution, "mode", report, quantified) join (select count(*) n, count(distinct event_type) distinct_types from events) e on true""")
+def p9_p17(spark, d):
+    """What the resolver makes of the events with some columns left out, beside what it keeps of them."""
+    ev = table(spark, d, "events").select("event_id", "value", F.col("event_type").alias("step"), "ts")
+    both = {"monthly_volume": 3.0, "manual_time_minutes": 4.0}
+    given = {
+        "no_activity": (ev.select("event_id", "value"), None), "user_metrics": (ev.select("event_id", "step"), both),
+        "one_user_metric": (ev.select("event_id", "step"), {"monthly_volume": 3.0}), "no_time": (ev.select("event_id", "step"), None),
+        "minutes": (ev.select("event_id", "step", F.col("value").alias("duree_minutes")), None), "moments": (ev, None),
+    }
+    rows = []
+    for name, (df, metrics) in given.items():
+        out, context = resolve_time_context(df.withColumn("kept", F.lit(1)), metrics)
+        activity = F.col("activity") if "activity" in out.columns else F.lit(None)
+        counts = out.agg(F.count("kept").alias("n"), F.countDistinct(activity).alias("_a"))
+        told = {"variant": name, "resolution": context.case, "mode": context.mode, "report": context.report_path(), "quantified": context.can_run_time_quantification}
+        rows.append(counts.select(*[F.lit(v).alias(c) for c, v in told.items()], "n", F.col("_a").alias("activities")))
+    return union_all(rows)
+
+
 @query("p19_coerce_timestamps", """select event_id, case when event_id % 5 <> 0 then date_trunc('second', ts) end parsed
 from events""")
 def p19(spark, d):
