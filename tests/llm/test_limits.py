@@ -88,6 +88,32 @@ def test_tokens_at_the_end_of_a_page(spark, html, text):
     assert row.n_chars == len(row.text) and (text is None or row.text == text)
 
 
+READERS = "comment-list comments-area author-comments related-posts share-buttons social-links sidebar-inner ad-slot advert-box cookie-bar commentList".split()
+TEXT = "A paragraph of the article, with commas, and of a length that counts, as real ones have."
+
+
+@pytest.mark.parametrize("wrapper", ["article", "div", "div class='post'"])
+def test_parts_of_readers_and_adverts_are_no_article(spark, wrapper):
+    pages_of = [
+        (i, "u", f"<html><body><{wrapper}><h1>Title</h1>" + f"<p>{i} {TEXT}</p>" * 4 + f"<div class='{name}'><p>Foreign words, of others, that say a thing or two here.</p></div><p>Last {TEXT}</p></{wrapper.split()[0]}></body></html>")
+        for i, name in enumerate(READERS)
+    ]
+    for r in pages.extract_text(spark.createDataFrame(pages_of, "page_id long, url string, html string")).collect():
+        assert r.text == " ".join(["Title", *[f"{r.page_id} {TEXT}"] * 4, f"Last {TEXT}"]), READERS[r.page_id]
+
+
+@pytest.mark.parametrize("name", ["related-work", "search-results-analysis", "notice-of-meeting", "form-and-function"])
+def test_sections_of_an_article_stay(spark, name):
+    html = f"<article><h1>Title</h1><p>{TEXT}</p><section id='{name}'><h2>More</h2><p>Also {TEXT}</p></section></article>"
+    assert pages.extract_text(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first().text == f"Title {TEXT} More Also {TEXT}"
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "post comments-open", "content-sidebar-wrap", "header-content"])
+def test_wrappers_of_an_article_stay(spark, name):
+    html = f"<body><div class='{name}'><h1>Title</h1><p>{TEXT}</p><p>Also {TEXT}</p></div></body>"
+    assert pages.extract_text(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).first().text == f"Title {TEXT} Also {TEXT}"
+
+
 def test_mixture_of_repeated_ids_does_not_depend_on_layout(spark):
     rows = [(i % 3, f"{chr(97 + i)} b c", "s" if i < 30 else "t") for i in range(40)]
     random.Random(1).shuffle(rows)

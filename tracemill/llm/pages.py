@@ -41,6 +41,12 @@ NAMES = frozenset(
     "overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar "
     "signup social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
+# Words that say how a part is laid out or whose it is; beside a word of the above they change nothing.
+FRAMES = frozenset(
+    "area author bar block body bottom box button buttons card column container content count counter entry group heading icon icons "
+    "inner item items label left link links list outer panel post posts reader region right row section site slot strip text thread "
+    "title top unit user wrap wrapper".split()
+)
 ADVERTS = frozenset("ad ads advert adverts advertisement advertising hidden promo promoted promotion sponsor sponsored".split())
 CONTAINERS = frozenset("a center details div dl ol section table ul".split())
 KEEP = frozenset("html body main article".split())
@@ -59,6 +65,7 @@ TOKEN = re.compile(
 OPEN = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?].*", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 SPACE = re.compile(r"\s+")
+HUMP = re.compile("([a-z])([A-Z])")
 
 
 class Node:
@@ -91,17 +98,17 @@ def unwanted(tag: str, attributes: str, depth_in_article: bool) -> bool:
 
 
 def marked(tag: str, attributes: str) -> int:
-    """``WHOLE`` if a class or id has only words of ``NAMES``, ``PART`` if one has such a word, else 0."""
+    """``WHOLE`` if a class or id has only words of ``NAMES``, or ``FRAMES`` beside one; ``PART`` if one has such a word, else 0."""
     if not attributes or tag in KEEP:
         return 0
     words, found = NAMES if tag in CONTAINERS else ADVERTS, 0
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id"):
-            for label in (a or b or c).lower().split():
-                hits = [w in words for w in re.split(r"[^a-z]+", label) if w]
-                if hits and all(hits):
-                    return WHOLE
-                if any(hits):
+            for label in HUMP.sub(r"\1-\2", a or b or c).lower().split():
+                parts = [w for w in re.split(r"[^a-z]+", label) if w]
+                if any(w in words for w in parts):
+                    if all(w in words or w in FRAMES for w in parts):
+                        return WHOLE
                     found = PART
     return found
 
