@@ -31,10 +31,12 @@ from tracemill.session import broadcast_if_small, checkpoint
 SEGMENT = 8 << 20  # bytes of text
 RATE = 1e-4  # words at least as frequent are exchanged; at most 1 / RATE words
 CLASSES = 32
-ROUNDS = (8, 4, 2, 1, 1, 1)  # tasks in each round of the exchange
+TASKS = 16  # tasks of a round of the exchange
+ROUNDS = (2, 2, 2, 3, 3, 3, 4, 4, 4, 4)  # one of so many hashed parts of the words moves in a round
 DELTA = 0.1  # added to counts of words
 PRIOR = 20.0  # strength of the class distribution behind a transition
 
+MOST_CLASSES = 250  # a class number, with those of end and other words, is a byte of a fact
 PLACE_BITS = 24  # of a place in a segment's list of keys, below the segment's number
 # A segment is a few large values, so small row groups and no value dictionaries.
 LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.enable.dictionary": "false"}
@@ -114,6 +116,8 @@ def encode(docs: DataFrame, id_col: str, text_col: str, held, segment: int = SEG
             nonlocal serial, size
             length, out = np.concatenate(lengths), np.concatenate(held_)
             distinct, words, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            if len(distinct) > 1 << PLACE_BITS:
+                raise ValueError(f"a text has more than {1 << PLACE_BITS} distinct words")
             common = np.argsort(-times, kind="stable")
             place = np.empty(len(common), dtype=np.int32)
             place[common] = np.arange(len(common), dtype=np.int32)
@@ -269,8 +273,9 @@ class _Links(NamedTuple):
 def exchange(links: DataFrame, n_words: int, classes: int = CLASSES, rounds: tuple[int, ...] = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(class of each frequent word, class bigrams) by distributed exchange.
 
-    "Another word" and "end" have classes of their own, which take no words. ``rounds`` are numbers
-    of tasks; one task holds all words at most, which the rate of frequent words bounds.
+    "Another word" and "end" have classes of their own, which take no words. In a round one of n hashed
+    parts of the words moves, n as in ``rounds``, each of ``TASKS`` tasks moving its share in turn; so few
+    words move without knowledge of each other, and no task reads more than its share of the links.
     """
     total = classes + 2
     label = np.concatenate([np.arange(n_words) % classes, [classes, classes + 1]]).astype(np.int64)
@@ -288,7 +293,7 @@ def exchange(links: DataFrame, n_words: int, classes: int = CLASSES, rounds: tup
             g[r.cell] = r.n
         return g.reshape(total, total)
 
-    def moved(now: np.ndarray, g: np.ndarray, tasks: int) -> np.ndarray:
+    def moved(now: np.ndarray, g: np.ndarray, part: int, parts: int) -> np.ndarray:
         def run(batches):
             rows = _Links.of(batches)
             if rows is None:
@@ -296,7 +301,7 @@ def exchange(links: DataFrame, n_words: int, classes: int = CLASSES, rounds: tup
             mine, counts = now.copy(), g.copy()
             for i in np.argsort(rows.word).tolist():
                 w = int(rows.word[i])
-                if w >= n_words:
+                if w >= n_words or turn[w] % parts != part:
                     continue
                 out, into, loops = rows.shares(i, mine, total)
                 old = int(mine[w])
@@ -315,15 +320,16 @@ def exchange(links: DataFrame, n_words: int, classes: int = CLASSES, rounds: tup
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(mine[own])], ["w", "c"])
 
         new = now.copy()
-        for r in links.repartition(tasks, F.col("w") % tasks).mapInArrow(run, "w long, c long").collect():
+        for r in dealt.mapInArrow(run, "w long, c long").collect():
             new[r.w] = r.c
         return new
 
-    for tasks in rounds if n_words else ():
-        new = moved(label, bigrams(label), tasks)
-        if (new == label).all():
-            break
-        label = new
+    turn = X.mix(np.arange(n_words, dtype=np.uint64)) >> np.uint64(32)
+    dealt = checkpoint(links.repartition(TASKS, F.col("w")))
+    seen: dict[int, int] = {}
+    for parts in rounds if n_words else ():
+        part = seen[parts] = seen.get(parts, -1) + 1
+        label = moved(label, bigrams(label), part % parts, parts)
     return label, bigrams(label)
 
 
@@ -446,6 +452,8 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text",
     one token, its end. Repeated rows are texts of their own. Without training rows every word is
     unknown and both scores are those of uniform smoothing.
     """
+    if not 0 < classes <= MOST_CLASSES:
+        raise ValueError(f"classes must be 1 to {MOST_CLASSES}")
     spark = docs.sparkSession
     ship(spark)
     segments = stored(encode(docs, id_col, text_col, held), "segments", **LAYOUT)
