@@ -34,7 +34,7 @@ from tracemill.llm import ship
 
 WORD_BITS = 8  # a word of the lower bitmap has 2**WORD_BITS bits
 MANY = 24  # places of a bucket from which on array operations merge it
-GROUP = 8 << 20  # bytes of texts whose pre-tokens are merged together, or one longer text
+GROUP = 4 << 20  # bytes of texts whose pre-tokens are merged together, or one longer text
 CACHED = 1 << 18  # pre-tokens whose ids a Python worker keeps before it begins anew,
 CACHED_CHARS = 1 << 23  # and their characters
 WHOLE = 1 << 20  # pre-tokens of longer texts are not held in one list
@@ -252,7 +252,7 @@ class Encoder:
             self._forget()
         known = len(self.number)
         number = self.number.__getitem__
-        met = [np.fromiter(map(number, self.splitter.pieces(t)), np.int64) for t in texts]
+        met = [np.fromiter(map(number, self.splitter.pieces(t)), np.int32) for t in texts]
         fresh = list(islice(self.number, known, None))
         ids, count = self.vocabulary.merge([p.encode() for p in fresh])
         self.chars += sum(map(len, fresh))
