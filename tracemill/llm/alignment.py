@@ -123,8 +123,13 @@ def coalesce(a_length: np.ndarray, b_length: np.ndarray) -> Links:
 
 
 def pack_ids(ids: np.ndarray, side: Side) -> bytes:
-    """Little-endian unsigned ids of the fewest bytes that the vocabulary allows: 16 or 32 bits."""
-    return ids.astype(_width(side)).tobytes()
+    """Compressed ids of the fewest bytes that the vocabulary allows: 16 or 32 bits."""
+    return pa.Codec("zstd").compress(ids.astype(_width(side)).tobytes(), asbytes=True)
+
+
+def unpack_ids(packed: bytes, n: int, side: Side) -> np.ndarray:
+    width = np.dtype(_width(side))
+    return np.frombuffer(pa.Codec("zstd").decompress(packed, n * width.itemsize, asbytes=True), width).astype(np.int64)
 
 
 def _width(side: Side) -> str:
@@ -134,17 +139,16 @@ def _width(side: Side) -> str:
 class Laid:
     """The ids of several documents behind each other, and where each document begins."""
 
-    def __init__(self, a: Side, b: Side, a_ids: list[bytes], b_ids: list[bytes]):
+    def __init__(self, a: Side, b: Side, row: dict):
         self.sides = a, b
-        self.a, self.a_first = self._lay(a, a_ids)
-        self.b, self.b_first = self._lay(b, b_ids)
+        self.a, self.a_first = self._lay(a, row["a"], row["a_n"])
+        self.b, self.b_first = self._lay(b, row["b"], row["b_n"])
         self.links = coalesce(a.length[self.a], b.length[self.b])
 
     @staticmethod
-    def _lay(side: Side, column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        width = _width(side)
-        first = np.cumsum([0, *(len(x) // np.dtype(width).itemsize for x in column)])
-        return np.frombuffer(b"".join(column), width).astype(np.int64), first
+    def _lay(side: Side, ids: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+        first = np.cumsum(np.append(0, np.frombuffer(n, np.int64)))
+        return unpack_ids(ids, int(first[-1]), side), first
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pair of ids, document, links): the distinct pairs of each document, by pair."""
@@ -184,31 +188,57 @@ def _joined(a: list[list[str]], b: list[list[str]]) -> list[str]:
     return _tables[key]
 
 
+SEGMENTS = "segment long, doc binary, a_n binary, b_n binary, a binary, b binary"
+NAMES = [c.split()[0] for c in SEGMENTS.split(", ")]
+# A segment is a few large values, so small row groups and no value dictionaries.
+LAYOUT = {"parquet.block.size": str(16 << 20), "parquet.enable.dictionary": "false"}
+
+
 def encode_both(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
-    """(segment, id, a, b): the ids of both tokenizers, packed.
+    """``SEGMENTS``: the ids of both tokenizers, and how many each document has.
 
-    A segment holds texts of one task of about ``segment`` bytes. Null and empty texts, and texts that
-    a tokenizer does not keep byte by byte, have no tokens on either side.
+    A segment holds texts of one task of about ``segment`` bytes; ``doc`` is an Arrow stream of their
+    ids. Null and empty texts, and texts that a tokenizer does not keep byte by byte, have no tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = byte_level(byte_path), sentence_piece(piece_path)
+        sides = byte_level(byte_path), sentence_piece(piece_path)
         number, filled = TaskContext.get().partitionId() << 32, 0
-        for whole in batches:
-            for lo in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(lo, ROWS)
-                names = []
-                for n in pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist():
-                    if filled and filled + n > segment:
-                        number, filled = number + 1, 0
-                    filled += n
-                    names.append(number)
-                ids = both(a, b, pc.fill_null(batch.column(1), "").to_pylist())
-                packed = [pa.array([pack_ids(x[i], side) for x in ids], pa.binary()) for i, side in enumerate((a, b))]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column(0), *packed], ["segment", id_col, "a", "b"])
+        names: list[pa.Array] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal number, filled
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([("id", names[0].type)])) as w:
+                for x in names:
+                    w.write_batch(pa.RecordBatch.from_arrays([x], ["id"]))
+            counts = [np.array([len(x[i]) for x in held], np.int64).tobytes() for i in (0, 1)]
+            ids = [pack_ids(np.concatenate([x[i] for x in held]), side) for i, side in enumerate(sides)]
+            row = [number, sink.getvalue().to_pybytes(), *counts, *ids]
+            number, filled = number + 1, 0
+            names.clear()
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if i == 0 else pa.binary()) for i, v in enumerate(row)], NAMES)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"segment long, `{id_col}` {kind}, a binary, b binary")
+        for whole in batches:
+            sizes = pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False)
+            lo = 0
+            while lo < whole.num_rows:
+                hi = lo
+                while hi < min(lo + ROWS, whole.num_rows) and (hi == lo or filled + int(sizes[lo : hi + 1].sum()) <= segment):
+                    hi += 1
+                batch = whole.slice(lo, hi - lo)
+                names.append(batch.column(0))
+                held += both(*sides, pc.fill_null(batch.column(1), "").to_pylist())
+                filled += int(sizes[lo:hi].sum())
+                lo = hi
+                if filled >= segment or (lo < whole.num_rows and filled + int(sizes[lo]) > segment):
+                    yield flush()
+        if held:
+            yield flush()
+
+    return docs.select(id_col, text_col).mapInArrow(run, SEGMENTS)
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
@@ -223,21 +253,20 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
     """
     spark = docs.sparkSession
     ship(spark)
-    encoded = stored(encode_both(docs, byte_path, piece_path, id_col, text_col, segment), "aligned")
+    encoded = stored(encode_both(docs, byte_path, piece_path, id_col, text_col, segment), "aligned", **LAYOUT)
+
+    def lay(row: dict) -> Laid:
+        return Laid(byte_level(byte_path), sentence_piece(piece_path), row)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            names = whole.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), whole.num_rows]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                laid = Laid(byte_level(byte_path), sentence_piece(piece_path), *(whole.column(c).slice(lo, hi - lo).to_pylist() for c in (1, 2)))
-                held, n = np.unique(laid.pairs()[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), names[lo])), pa.array(held), pa.array(n)], ["segment", "pair", "n"])
-
-    # Each distinct pair of a segment once, or twice where a batch ends within the segment.
-    asked = stored(encoded.select("segment", "a", "b").mapInArrow(count, "segment long, pair long, n long"), "aligned-pairs")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                held, n = np.unique(lay(row).pairs()[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), row["segment"])), pa.array(held), pa.array(n)], ["segment", "pair", "n"])
+
+    # Each distinct pair of a segment once.
+    asked = stored(encoded.select("segment", "a_n", "b_n", "a", "b").mapInArrow(count, "segment long, pair long, n long"), "aligned-pairs")
     pieces = len(sentence_piece(piece_path).token)
     total = asked.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("a", F.expr(f"pair div {pieces}"))
     # A first id has at most as many rows as the second vocabulary has pieces.
@@ -246,22 +275,24 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
     kind = docs.schema[id_col].dataType.simpleString()
 
     def measure(key: tuple, rows: pa.Table, told: pa.Table) -> pa.Table:
-        laid = Laid(byte_level(byte_path), sentence_piece(piece_path), rows["a"].to_pylist(), rows["b"].to_pylist())
+        row = {c: rows[c][0].as_py() for c in rows.column_names}
+        laid = lay(row)
         pair, doc, links = laid.pairs()
-        known = told["pair"].to_numpy()
-        # The facts are those of just these pairs, some twice; both sorted, they meet by rank.
-        known, first = np.unique(known, return_index=True)
+        # The facts are those of just these pairs; both sorted, they meet by rank.
+        first = np.argsort(told["pair"].to_numpy())
+        known, n, best = told["pair"].to_numpy()[first], told["n"].to_numpy()[first], told["best"].to_numpy(zero_copy_only=False)[first]
         at = np.cumsum(np.append(False, pair[1:] != pair[:-1])[: len(pair)])
-        n, best = told["n"].to_numpy()[first], told["best"].to_numpy(zero_copy_only=False)[first]
         if not np.array_equal(known[at], pair):
             raise ValueError("the facts of a segment are not those of its pairs")
-        sums = [np.zeros(rows.num_rows, np.int64) for _ in range(3)]
+        with pa.ipc.open_stream(row["doc"]) as f:
+            ids = f.read_all()["id"].combine_chunks()
+        sums = [np.zeros(len(ids), np.int64) for _ in range(3)]
         for total, value in zip(sums, (links, links * best[at], links * n[at])):
             np.add.at(total, doc, value)
         # Groups are numbered over the segment: a document has those up to its last less those before it.
         groups = np.diff(np.append(0, laid.links.a_group + 1)[laid.a_first])
         columns = [np.diff(laid.a_first), np.diff(laid.b_first), groups, *sums, laid.group_texts()]
         names = [c.split()[0] for c in STATISTICS.split(", ")]
-        return pa.table({id_col: rows[id_col], **{c: pa.array(v) for c, v in zip(names, columns)}})
+        return pa.table({id_col: ids, **{c: pa.array(v) for c, v in zip(names, columns)}})
 
     return encoded.groupBy("segment").cogroup(facts.groupBy("segment")).applyInArrow(measure, f"`{id_col}` {kind}, {STATISTICS}")
