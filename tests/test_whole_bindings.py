@@ -44,6 +44,7 @@ def con(tables):
 @pytest.mark.parametrize(("name", "column", "found"), [
     ("u5_empty_transformations", "workflow_id", [4]),
     ("v1_time_violations", "rule", ["activity_above_cycle", "manual_above_cycle"]),
+    ("j7_uncovered", "c_custkey", [4]),
 ])
 def test_whole_tables(spark, tables, con, name, column, found):
     rows = workload.QUERIES[name](spark, tables)
