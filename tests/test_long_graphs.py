@@ -92,3 +92,16 @@ def test_a_long_chain_is_reached_within_forty_rounds(spark, rounds):
     # A second circle that nothing enters is not reached.
     edges = chain(spark, *[(-i, -(i % 50) - 1) for i in range(1, 51)])
     assert graph.reachable(edges, start).count() == LENGTH - 10 and len(rounds) <= 40
+
+
+@pytest.mark.parametrize("row_edges", [0, 4, 1_000])
+def test_cycles_of_small_workflows_need_no_rounds(spark, monkeypatch, row_edges):
+    """Paths of two lengths, of which every third is closed; rounds are for workflows above ``row_edges``."""
+    edges = [(f"w{w}", i, i + 1) for w in range(60) for i in range(3 + 3 * (w % 2))]
+    edges += [(f"w{w}", 1, 0) for w in range(0, 60, 3)] + [("self", 5, 5), ("open", 1, 2), ("none", None, 2), ("none", 2, None)]
+    written = []
+    monkeypatch.setattr(graph, "checkpoint", lambda df, f=graph.checkpoint: written.append(1) or f(df))
+    df = spark.createDataFrame(edges, "workflow_id string, de long, vers long")
+    found = sorted(r.workflow_id for r in graph.cyclic_workflows(df, row_edges).collect())
+    assert found == sorted([f"w{w}" for w in range(0, 60, 3)] + ["self"])
+    assert row_edges < 1_000 or len(written) == 2

@@ -7,11 +7,13 @@ the same round, keep only (workflow, id) keys, and cut lineage with a checkpoint
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracemill.operators.rules import union_all
-from tracemill.session import checkpoint
+from tracemill.session import broadcast_if_small, checkpoint
 
 # Rounds kept as separate pieces before they are written as one.
 _MAX_PIECES = 8
@@ -19,6 +21,9 @@ _MAX_PIECES = 8
 # Edges that a search goes one a round before chains are contracted.
 PLAIN_ROUNDS = 4
 
+# Workflows of up to so many edges are searched for cycles as one row.
+ROW_EDGES = 1_000
+
 # Texts and ids of repaired boundaries.
 START_LABEL, END_LABEL = "Start", "End"
 TRIGGER_PREFIX, FIN_PREFIX = "trigger", "fin"
@@ -146,9 +151,51 @@ def _contracted(edges: DataFrame, at: str, other: str) -> tuple[DataFrame, DataF
     return checkpoint(out.select("workflow_id", "de", "vers")), circles
 
 
-def cyclic_workflows(edges: DataFrame) -> DataFrame:
+@F.pandas_udf(T.BooleanType())
+def _has_cycle(sources: pd.Series, targets: pd.Series) -> pd.Series:
+    """Whether edges are left once those of nodes that nothing enters are dropped, again and again."""
+    out = []
+    for de, vers in zip(sources, targets):
+        after: dict = {}
+        entered: dict = {}
+        for a, b in zip(de, vers):
+            after.setdefault(a, []).append(b)
+            entered[b] = entered.get(b, 0) + 1
+        free = [a for a in after if a not in entered]
+        left = len(de)
+        while free:
+            for b in after.get(free.pop(), ()):
+                left -= 1
+                entered[b] -= 1
+                if not entered[b]:
+                    free.append(b)
+        out.append(left > 0)
+    return pd.Series(out, dtype="bool")
+
+
+def cyclic_workflows(edges: DataFrame, row_edges: int = ROW_EDGES) -> DataFrame:
     """Workflows that contain a cycle.
 
+    Workflows of at most ``row_edges`` edges are searched one a row; rounds go over the larger ones only.
+    """
+    whole = checkpoint(edges.select("workflow_id", "de", "vers").na.drop().distinct())
+    sizes = whole.groupBy("workflow_id").agg(F.count(F.lit(1)).alias("_n"))
+    large = checkpoint(sizes.filter(F.col("_n") > row_edges).select("workflow_id"))
+    if large.isEmpty():
+        return _cyclic_rows(whole)
+    large = broadcast_if_small(large)
+    rest = _cyclic_rows(whole.join(large, "workflow_id", "left_anti"))
+    return rest.unionByName(_cyclic_rounds(whole.join(large, "workflow_id", "left_semi")))
+
+
+def _cyclic_rows(edges: DataFrame) -> DataFrame:
+    listed = edges.groupBy("workflow_id").agg(F.collect_list(F.struct("de", "vers")).alias("_e"))
+    return listed.filter(_has_cycle(F.col("_e.de"), F.col("_e.vers"))).select("workflow_id")
+
+
+def _cyclic_rounds(edges: DataFrame) -> DataFrame:
+    """Workflows with a cycle, all of them advanced in the same round.
+
     A round drops edges at nodes that nothing enters or leaves, and contracts chains. A workflow that
     loses no edge has only nodes that are entered, and so a cycle. Rounds grow with the depth of what
     chains leave: nodes that several edges enter and several leave.
