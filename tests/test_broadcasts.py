@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import workload
+from tracemill import session
 from tracemill.operators import advisor_rules as ar
+from tracemill.operators import workflow_rules as wr
 from tracemill.session import broadcast_if_small
 
 
@@ -27,3 +30,16 @@ def test_side_above_the_limit_is_shuffled(spark):
     assert "BroadcastHashJoin" not in plan
     plan = many.join(broadcast_if_small(few, 3), "id")._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_partitions_of_whole_days_follow_the_rows(spark, tmp_path, monkeypatch):
+    workload.load()
+    day = F.lit("2024-01-01").cast("timestamp")
+    orders = spark.range(90).select(F.col("id").alias("o_orderkey"), day.alias("o_orderdate"))
+    items = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (day + F.expr("interval 36 hours")).alias("l_shipdate"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    found = workload.QUERIES["c7_whole_days"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 9
+    assert [tuple(r) for r in found.groupBy("days", "n").count().collect()] == [(1, 1, 90)]

@@ -15,6 +15,7 @@ from tracemill.operators.telemetry import telemetry_summary
 from tracemill.sources.catalog import catalog_names
 from tracemill.sources.documents import documents_without_records, extract_records, records_table
 from tracemill.sources.exports import export_documents
+from tracemill.session import shuffle_parts, shuffled
 from workload import query
 from workload.bindings import CATALOG, catalog, log_all, r2, table, with_log
 
@@ -275,7 +276,11 @@ def c5(spark, d):
 @query("c7_whole_days", """select l_orderkey, l_linenumber, cast(floor((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 86400000000.0) as bigint) as days,
 count(*) n from lineitem join orders on l_orderkey = o_orderkey group by 1, 2, 3""")
 def c7(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    items, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    # Both sides in partitions by their number of rows, as one shuffle serves the join and the groups.
+    parts = shuffle_parts(spark, items.count())
+    dealt = items.select("l_orderkey", "l_linenumber", "l_shipdate").repartition(parts, "l_orderkey")
+    rows = dealt.join(shuffled(orders.select("o_orderkey", "o_orderdate").repartition(parts, "o_orderkey")), F.col("l_orderkey") == F.col("o_orderkey"))
     days = s.whole_days_between(F.col("o_orderdate").cast("timestamp"), F.col("l_shipdate").cast("timestamp"))
     return rows.groupBy("l_orderkey", "l_linenumber", days.alias("days")).agg(F.count("*").alias("n"))
 
