@@ -43,3 +43,13 @@ def test_partitions_of_whole_days_follow_the_rows(spark, tmp_path, monkeypatch):
     found = workload.QUERIES["c7_whole_days"](spark, str(tmp_path))
     assert found.rdd.getNumPartitions() == 9
     assert [tuple(r) for r in found.groupBy("days", "n").count().collect()] == [(1, 1, 90)]
+
+
+def test_partitions_of_workflow_rules_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    ids = spark.range(90).select(F.lit("w").alias("workflow_id"), F.col("id").cast("string").alias("id"))
+    nodes = ids.select("*", F.lit("a").alias("label"), F.lit("a").alias("description"), F.lit("ia").alias("type_noeud"), F.lit("s").alias("etape_originale"))
+    edges = ids.select("workflow_id", F.col("id").alias("de"), F.col("id").alias("vers"))
+    found = wr.node_violations(nodes, edges, ids.limit(1))
+    assert found.rdd.getNumPartitions() == 9
+    assert [tuple(r) for r in found.groupBy("rule").count().collect()] == [("original_step_unknown", 90)]

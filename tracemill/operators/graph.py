@@ -33,8 +33,8 @@ def node_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("workflow_id", "id").distinct()
 
 
-def unknown_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edge ends that are no node: (workflow_id, de, vers, side, id)."""
+def unknown_endpoints(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """Edge ends that are no node: (workflow_id, de, vers, side, id); ``parts`` as for ``degrees``."""
     ends = edges.select(
         "workflow_id",
         "de",
@@ -46,7 +46,12 @@ def unknown_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             )
         ).alias("_e"),
     ).select("workflow_id", "de", "vers", "_e.*")
-    return ends.join(node_keys(nodes), ["workflow_id", "id"], "left_anti")
+    return dealt(ends, parts).join(node_keys(dealt(nodes, parts)), ["workflow_id", "id"], "left_anti")
+
+
+def dealt(df: DataFrame, parts: int | None, key: str = "id") -> DataFrame:
+    """``df`` by workflow and ``key`` in ``parts`` partitions, which joins and groups by these need not shuffle again."""
+    return df if parts is None else df.repartition(parts, "workflow_id", key)
 
 
 def self_loops(edges: DataFrame) -> DataFrame:
@@ -54,8 +59,12 @@ def self_loops(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("de") == F.col("vers"))
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Incoming, outgoing and conditioned outgoing edges of every node."""
+def degrees(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
+    """Incoming, outgoing and conditioned outgoing edges of every node.
+
+    ``parts``, where given, is the number of partitions of the shuffles.
+    """
+    nodes = dealt(nodes, parts)
     conditioned = (
         F.coalesce(F.col("condition").rlike(r"(?U)\S"), F.lit(False)).cast("int")
         if "condition" in edges.columns
@@ -70,7 +79,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             )
         ).alias("_e"),
     ).select("workflow_id", "_e.*")
-    counts = ends.groupBy("workflow_id", "id").agg(
+    counts = dealt(ends, parts).groupBy("workflow_id", "id").agg(
         F.sum("i").alias("_in"), F.sum("o").alias("_out"), F.sum("c").alias("_cond")
     )
     zero = F.lit(0).cast("long")

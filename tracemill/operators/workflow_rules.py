@@ -9,7 +9,7 @@ from tracemill.functions.scalars import non_blank, word_count
 from tracemill.operators import graph
 from tracemill.operators.rules import duplicates, union_all, violations, warnings_array
 from tracemill.operators.transform import classify_steps, empty_transformations, overlapping_classes, uncovered_steps
-from tracemill.session import checkpoint
+from tracemill.session import checkpoint, shuffle_parts
 
 # Fixed values.
 NODE_TYPES = ["trigger", "automatique", "humain", "decision", "fin", "ia"]
@@ -36,12 +36,17 @@ def header_violations(workflows: DataFrame) -> DataFrame:
     )
 
 
-def node_violations(nodes: DataFrame, edges: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+def node_violations(
+    nodes: DataFrame, edges: DataFrame, steps: DataFrame | None = None, parts: int | None = None
+) -> DataFrame:
     """Texts, label length, type, original step (J1), connections (G3) and decisions.
 
-    One pass over nodes joined with their degrees and, if given, the known steps.
+    One pass over nodes joined with their degrees and, if given, the known steps. ``parts`` is the number
+    of partitions, by default after the number of nodes.
     """
-    rows = graph.degrees(nodes, edges)
+    if parts is None:
+        parts = shuffle_parts(nodes.sparkSession, nodes.count())
+    rows = graph.degrees(nodes, edges, parts)
     rules: dict[str, Column] = {
         "id_blank": ~non_blank("id"),
         "label_blank": ~non_blank("label"),
@@ -54,8 +59,9 @@ def node_violations(nodes: DataFrame, edges: DataFrame, steps: DataFrame | None
     if steps is not None:
         known = steps.select(
             "workflow_id", F.col("id").alias("etape_originale"), F.lit(True).alias("_known")
-        ).distinct()
-        rows = rows.join(known, ["workflow_id", "etape_originale"], "left")
+        )
+        known = graph.dealt(known, parts, "etape_originale").distinct()
+        rows = graph.dealt(rows, parts, "etape_originale").join(known, ["workflow_id", "etape_originale"], "left")
         rules["original_step_unknown"] = F.col("etape_originale").isNotNull() & F.col("_known").isNull()
     return violations(rows, "node", "workflow_id", "id", rules)
 
@@ -99,6 +105,9 @@ def workflow_violations(
     """
     workflows, nodes, edges = map(checkpoint, (workflows, nodes, edges))
     steps = None if steps is None else checkpoint(steps)
+    parts = shuffle_parts(nodes.sparkSession, max(df.count() for df in (workflows, nodes, edges, steps) if df is not None))
+    nodes, edges = checkpoint(graph.dealt(nodes, parts)), checkpoint(graph.dealt(edges, parts, "de"))
+    steps = None if steps is None else checkpoint(graph.dealt(steps, parts))
     counted = workflows.select("workflow_id").distinct().join(type_counts(nodes), "workflow_id", "left")
     empty = F.col("nodes").isNull()
     found = [
@@ -115,8 +124,8 @@ def workflow_violations(
             },
         ),
         _all_rows(duplicates(nodes, ["workflow_id", "id"]), "node", "id", "duplicate_id"),
-        node_violations(nodes, edges, steps),
-        _all_rows(graph.unknown_endpoints(nodes, edges), "edge", _edge(), "unknown_endpoint"),
+        node_violations(nodes, edges, steps, parts),
+        _all_rows(graph.unknown_endpoints(nodes, edges, parts), "edge", _edge(), "unknown_endpoint"),
         _all_rows(graph.self_loops(edges), "edge", _edge(), "self_loop"),
         _all_rows(graph.cyclic_workflows(edges), "workflow", F.col("workflow_id"), "cycle"),
         *path_violations(nodes, edges),
@@ -124,8 +133,8 @@ def workflow_violations(
     if steps is not None:
         classes = checkpoint(classify_steps(steps, nodes))
         found += [
-            _all_rows(uncovered_steps(classes, steps), "step", "step_id", "classification_not_exact"),
-            _all_rows(overlapping_classes(classes), "step", "step_id", "step_in_two_classes"),
+            _all_rows(uncovered_steps(classes, steps, parts), "step", "step_id", "classification_not_exact"),
+            _all_rows(overlapping_classes(classes, parts), "step", "step_id", "step_in_two_classes"),
             _all_rows(
                 empty_transformations(classes, workflows), "workflow", F.col("workflow_id"), "nothing_classified"
             ),
