@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tracemill.llm import column, ship
-from tracemill.session import checkpoint
+from tracemill.session import broadcast_if_small, checkpoint
 
 DP_WORDS = 1 << 15  # the largest gap that the dynamic program closes
 BUCKETS = 256  # of the seeded hash
@@ -149,11 +149,13 @@ def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str =
     order = Window.partitionBy("_source", "_size").orderBy("_b")
     upto = fine.withColumn("before", F.sum("n").over(order) - F.col("n"))
     p = plan.filter("extra > 0").select(F.col("source").alias("_ps"), F.col("size").alias("_pz"), "extra")
-    cuts = (
+    cuts = checkpoint(
         upto.join(p, upto["_source"].eqNullSafe(p["_ps"]) & (upto["_size"] == p["_pz"]))
         .filter("before < extra and extra <= before + n")
         .select(F.col("_source").alias("_cs"), F.col("_size").alias("_cz"), F.col("_b").alias("_cut"), (F.col("extra") - F.col("before")).alias("_take"), F.col("n").alias("_have"))
     )
+    # One row per source and size: counted and sent to the documents, which keep their texts where they are.
+    cuts = broadcast_if_small(cuts)
     held = base.join(cuts, base["_source"].eqNullSafe(cuts["_cs"]) & (base["_size"] == cuts["_cz"]), "left").drop("_cs", "_cz")
     split = F.coalesce((F.col("_b") == F.col("_cut")) & (F.col("_take") < F.col("_have")), F.lit(False))
     sure = held.filter(~split).withColumn("_in", F.coalesce(F.col("_b") <= F.col("_cut"), F.lit(False)))
