@@ -17,10 +17,15 @@ bucket that holds several, one node of each with one of the largest. Only the no
 in another component than most of their bucket are compared with the others there, in blocks that
 count exact overlaps and return links alone. So a group of thousands of near copies gives no row for
 each of its pairs, and no link between components is lost.
+
+What a step keeps for the next ones goes to files by the number of rows, not by the number of shuffle
+partitions: on a local file system each file takes processes that the executor's JVM starts to set
+its mode, and while one starts, it shares all memory of the JVM and is counted with it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +53,9 @@ MERGING_ROUNDS = 1
 TEXT_BYTES = 1 << 20
 # Distinct shingles in a chunk of a bucket, on average; 12 bytes each.
 BLOCK_SHINGLES = 1_000_000
+# Input rows for each file that a step keeps, and for each file of shingle sets or texts.
+ROWS_A_FILE = 5_000
+TEXTS_A_FILE = 1_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
 
@@ -174,8 +182,15 @@ def _near(a: str, b: str):
     return (apart[0] + apart[1] <= MOST_BITS) | (apart[2] + apart[3] <= MOST_BITS)
 
 
-def _sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, set): shingle keys and counts of each of ``nodes``; only their texts are read again."""
+def _files(rows: int, each: int | None = None) -> int:
+    return max(1, math.ceil(rows / (each or ROWS_A_FILE)))
+
+
+def _sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(node, set): shingle keys and counts of each of ``nodes``; only their texts are read again.
+
+    ``size``, here and below, is the number of rows of ``docs``; no step keeps more nodes.
+    """
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +209,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     named = nodes.join(reps, "node").select("node", F.col("rep").alias("_rep"))
     found = texts.join(named, texts["_id"].eqNullSafe(named["_rep"])).select("node", "_text").mapInArrow(blobs, "node long, set binary")
-    return stored(found.dropDuplicates(["node"]), "shingle-sets")
+    return stored(found.dropDuplicates(["node"]).coalesce(_files(size, TEXTS_A_FILE)), "shingle-sets")
 
 
 def _parts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -202,13 +217,13 @@ def _parts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob[: 8 * n], np.uint64), np.frombuffer(blob[8 * n :], np.int32)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, threshold: float, size: int) -> DataFrame:
     """(u, v, similar) of each pair of nodes, by the exact similarity of their shingles.
 
     A pair meets the set of ``v``, which stands in few pairs, before that of ``u``, which may stand
-    in many.
+    in many. All partitions of the join compare; only their verdicts move to fewer files.
     """
-    sets = _sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, reps, id_col, text_col)
+    sets = _sets(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), docs, reps, id_col, text_col, size)
     right = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v")
     both = right.join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u").select("u", "v", "su", "sv")
 
@@ -217,7 +232,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, t
             hit = [_similar(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), threshold) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.bool_())], ["u", "v", "similar"])
 
-    return checkpoint(both.mapInArrow(compare, "u long, v long, similar boolean"))
+    return checkpoint(both.mapInArrow(compare, "u long, v long, similar boolean").repartition(_files(size)))
 
 
 class _Forest:
@@ -313,31 +328,32 @@ def _blocks(placed: DataFrame, sets: DataFrame, bands_of: DataFrame, threshold:
     return dealt.groupBy("key", "outer_chunk", "inner_chunk").applyInArrow(lambda t: _block_links(t, threshold), "u long, v long")
 
 
-def _roots(parents: DataFrame) -> DataFrame:
+def _roots(parents: DataFrame, size: int) -> DataFrame:
     """(node, part): the root above each node of (node, part), where ``part`` is a smaller node.
 
     Every node has one parent, so the links are a forest: each round puts a node below its
     parent's parent, and the number of rounds grows with the logarithm of the depth.
     """
-    current = checkpoint(parents)
+    current = checkpoint(parents.coalesce(_files(size)))
     while True:
         above = current.select(F.col("node").alias("part"), F.col("part").alias("_above"))
         moved = current.select("node", "part").join(above, "part", "left")
-        current = checkpoint(moved.select("node", F.coalesce("_above", "part").alias("part"), F.col("_above").isNotNull().alias("_moved")))
+        moved = moved.select("node", F.coalesce("_above", "part").alias("part"), F.col("_above").isNotNull().alias("_moved"))
+        current = checkpoint(moved.coalesce(_files(size)))
         if not current.agg(F.max("_moved")).first()[0]:
             return current.select("node", "part")
 
 
-def _merged(part: DataFrame, links: DataFrame) -> DataFrame:
+def _merged(part: DataFrame, links: DataFrame, size: int) -> DataFrame:
     """``part`` (node, part) after new links (u, v) between nodes; only the parts they join are contracted."""
     ends = links.select("u", "v")
     for end in ("u", "v"):
         at = part.select(F.col("node").alias(end), F.col("part").alias(f"_{end}"))
         ends = ends.join(at, end)
-    ends = checkpoint(ends.select(F.col("_u").alias("u"), F.col("_v").alias("v")).filter("u <> v").distinct())
+    ends = checkpoint(ends.select(F.col("_u").alias("u"), F.col("_v").alias("v")).filter("u <> v").distinct().coalesce(_files(size)))
     joined = ends.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     found = connected_components(joined, ends).select(F.col("id").alias("part"), F.col("component").alias("_whole"))
-    return checkpoint(part.join(found, "part", "left").select("node", F.coalesce("_whole", "part").alias("part")))
+    return checkpoint(part.join(found, "part", "left").select("node", F.coalesce("_whole", "part").alias("part")).coalesce(_files(size)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -348,14 +364,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     always of one class, texts without a word, null included, too. Repeated rows stay rows; ``node``
     tells different texts under one id apart. A class without a non-null id has a null name.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    return _classes(docs, id_col, text_col, threshold)[0]
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, int]:
+    """Rows of ``near_duplicates`` and their number."""
+    ship(docs.sparkSession)
     drawn = stored(sketches(docs, id_col, text_col), "sketches")
+    size = drawn.count()
+
+    def kept(df: DataFrame) -> DataFrame:
+        return checkpoint(df.coalesce(_files(size)))
+
     reps = drawn.groupBy("node").agg(F.min(id_col).alias("rep"))
-    uniq = checkpoint(drawn.groupBy("node").agg(*(F.first(c).alias(c) for c in ("bands", *BITS))))
+    uniq = kept(drawn.groupBy("node").agg(*(F.first(c).alias(c) for c in ("bands", *BITS))))
     rows = uniq.select("node", F.explode(F.array_distinct("bands")).alias("key"))
     buckets = rows.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("key", "lead")
-    members = checkpoint(rows.join(buckets, "key"))
+    members = kept(rows.join(buckets, "key"))
     bits = uniq.select("node", *BITS)
 
     def screened(pairs: DataFrame) -> DataFrame:
@@ -366,10 +391,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     shared = members.filter("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("n"))
     leader = shared.groupBy("node").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
-    first = checkpoint(screened(leader.select(F.col("lead").alias("u"), F.col("node").alias("v"))))
-    tested = _verified(first, docs, reps, id_col, text_col, threshold)
-    roots = _roots(tested.filter("similar").select(F.col("v").alias("node"), F.col("u").alias("part")))
-    part = checkpoint(uniq.select("node").join(roots, "node", "left").select("node", F.coalesce("part", "node").alias("part")))
+    first = kept(screened(leader.select(F.col("lead").alias("u"), F.col("node").alias("v"))))
+    tested = _verified(first, docs, reps, id_col, text_col, threshold, size)
+    roots = _roots(tested.filter("similar").select(F.col("v").alias("node"), F.col("u").alias("part")), size)
+    part = kept(uniq.select("node").join(roots, "node", "left").select("node", F.coalesce("part", "node").alias("part")))
     for turn in range(MERGING_ROUNDS + 1):
         # Buckets with several components; the largest of each is its main one.
         placed = members.select("key", "node").join(part, "node")
@@ -380,24 +405,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = each.join(mixed, "key").filter("part <> main").select(F.least("one", "centre").alias("u"), F.greatest("one", "centre").alias("v"))
             pairs = screened(pairs.distinct())
         else:
-            placed = checkpoint(placed.join(mixed, "key"))
+            placed = kept(placed.join(mixed, "key"))
             if placed.isEmpty():
                 continue
-            sets = _sets(placed.select("node").distinct(), docs, reps, id_col, text_col)
-            links = checkpoint(_blocks(placed, sets, uniq.select("node", "bands", *BITS), threshold))
+            sets = _sets(placed.select("node").distinct(), docs, reps, id_col, text_col, size)
+            links = checkpoint(_blocks(placed, sets, uniq.select("node", "bands", *BITS), threshold).repartition(_files(size)))
             if not links.isEmpty():
-                part = _merged(part, links)
+                part = _merged(part, links, size)
             continue
-        pairs = checkpoint(pairs.join(tested, ["u", "v"], "left_anti"))
+        pairs = kept(pairs.join(tested, ["u", "v"], "left_anti"))
         if pairs.isEmpty():
             continue
-        new = _verified(pairs, docs, reps, id_col, text_col, threshold)
+        new = _verified(pairs, docs, reps, id_col, text_col, threshold, size)
         tested = tested.unionByName(new)
         if not new.filter("similar").isEmpty():
-            part = _merged(part, new.filter("similar"))
-    names = checkpoint(reps.join(part, "node").groupBy("part").agg(F.min("rep").alias("class_id")))
-    named = checkpoint(part.join(names, "part").select("node", "class_id"))
-    return drawn.select(id_col, "node").join(named, "node")
+            part = _merged(part, new.filter("similar"), size)
+    names = kept(reps.join(part, "node").groupBy("part").agg(F.min("rep").alias("class_id")))
+    named = kept(part.join(names, "part").select("node", "class_id"))
+    return drawn.select(id_col, "node").join(named, "node").coalesce(_files(size)), size
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -410,7 +435,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Numbered names, so that no column of ``docs`` meets one of those added here.
     plain = docs.toDF(*[f"_d{i}" for i in range(len(columns))])
     own, body = f"_d{columns.index(id_col)}", f"_d{columns.index(text_col)}"
-    classes = near_duplicates(plain, own, body, threshold)
+    classes, size = _classes(plain, own, body, threshold)
     kept = classes.filter(F.col(own).eqNullSafe(F.col("class_id"))).select(F.col(own).alias("_kept"), F.col("node").alias("_kept_node")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,4 +451,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = named.join(kept, named[own].eqNullSafe(kept["_kept"]) & (named["_node"] == kept["_kept_node"]))
     found = found.drop("_kept", "_kept_node")
     again = F.row_number().over(Window.partitionBy(own, "_node").orderBy(body, F.to_json(F.struct(*[F.col(c) for c in names]))))
-    return found.withColumn("_again", again).filter("_again = 1").select(*names).toDF(*columns)
+    return found.withColumn("_again", again).filter("_again = 1").select(*names).toDF(*columns).coalesce(_files(size, TEXTS_A_FILE))
