@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 from tracemill.llm import minhash
+from tracemill.operators.components import connected_components
 from tracemill.session import checkpoint_dir
 
 MANY = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
@@ -38,12 +39,12 @@ def _files(root: Path) -> dict[str, int]:
 
 
 def test_steps_keep_few_files(spark, many_partitions):
-    docs = spark.createDataFrame(_texts(), "doc_id long, text string").coalesce(1)
+    docs = spark.createDataFrame(_texts(), "doc_id long, text string").coalesce(1)  # sketches are as many as the input's partitions
     root = Path(checkpoint_dir(spark).removeprefix("file:"))
     before = _files(root)
     found = minhash.near_duplicates(docs)
     rows = {r.doc_id: r.class_id for r in found.collect()}
-    made = {k: v for k, v in _files(root).items() if k not in before and ("rdd-" in k or "shingle-sets" in k)}
+    made = {k: v for k, v in _files(root).items() if k not in before}
     assert len(made) >= 10 and max(made.values()) == 1
     assert found.rdd.getNumPartitions() == 1
     assert minhash.deduplicate(docs).rdd.getNumPartitions() == 1
@@ -60,3 +61,13 @@ def test_files_grow_with_rows(spark, many_partitions, monkeypatch):
     made = {k: v for k, v in _files(root).items() if k not in before and "rdd-" in k}
     assert max(made.values()) == 5
     assert {tuple(r) for r in found.select("doc_id", "class_id").collect()} == few
+
+
+def test_rounds_of_components_keep_few_files(spark, many_partitions):
+    root = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = _files(root)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i % 20 != 19], "u long, v long")
+    rows = connected_components(spark.range(61), edges, 60).collect()
+    assert {r.id: r.component for r in rows} == {i: i // 20 * 20 for i in range(61)}
+    made = {k: v for k, v in _files(root).items() if k not in before}
+    assert made and max(made.values()) == 1

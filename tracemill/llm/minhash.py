@@ -352,7 +352,7 @@ def _merged(part: DataFrame, links: DataFrame, size: int) -> DataFrame:
         ends = ends.join(at, end)
     ends = checkpoint(ends.select(F.col("_u").alias("u"), F.col("_v").alias("v")).filter("u <> v").distinct().coalesce(_files(size)))
     joined = ends.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    found = connected_components(joined, ends).select(F.col("id").alias("part"), F.col("component").alias("_whole"))
+    found = connected_components(joined, ends, ends.count()).select(F.col("id").alias("part"), F.col("component").alias("_whole"))
     return checkpoint(part.join(found, "part", "left").select("node", F.coalesce("_whole", "part").alias("part")).coalesce(_files(size)))
 
 
